@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit_sql
-from rankloom.llm import blend, packing, split, tokens
+from rankloom.llm import blend, canon, names, packing, split, tokens
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,29 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ranked(spark, d).join(runs, "run_id").where("rank <= shortlist").select("run_id", "stem")
 
 
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Each stem with the spelling class of its name and the person or agency it stands for."""
+    return names.link_names(table(spark, d, "candidates", "stem", "name"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of stems whose names stand for the same person or agency."""
+    return names.linked_pairs(p4_entities(spark, d)).select(F.col("a").alias("stem_a"), F.col("b").alias("stem_b"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each value that isn't spelled as in skills, with the skill it means or ''."""
+    c = table(spark, d, "candidates", "stem", "skills").select(F.lit("candidate").alias("place"), F.col("stem").alias("rec"), F.explode("skills").alias("entered"))
+    r = table(spark, d, "requirements", "jd_id", "id", "keywords").select(
+        F.lit("requirement").alias("place"), F.concat("jd_id", F.lit("/"), "id").alias("rec"), F.explode("keywords").alias("entered")
+    )
+    skills = table(spark, d, "skills", "skill")
+    rows = c.unionByName(r).where("entered is not null").distinct().join(F.broadcast(skills), F.col("entered") == F.col("skill"), "left_anti")
+    terms = table(spark, d, "vocab", "term", "canon").unionByName(skills.select(F.col("skill").alias("term"), F.col("skill").alias("canon")))
+    found = canon.match_values(rows, terms).select(F.col("entered").alias("__e"), F.col("match").alias("skill"))
+    return rows.join(found, F.col("entered") == F.col("__e")).select("place", "rec", "entered", "skill")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -95,7 +118,7 @@ _SQL = {
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p7_ids, p7_round_trip, p8_containers, p8_usage)
+        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage)
     }
 
 
