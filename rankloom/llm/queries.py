@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit_sql
-from rankloom.llm import blend, canon, names, packing, split, tokens
+from rankloom.llm import blend, canon, names, packing, split, tokens, truncated
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,21 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).groupBy("container").agg(F.sum("size").alias("tokens"), F.count("*").alias("items"))
 
 
+def p9_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text, whether it was cut off, and what tells."""
+    return truncated.find_truncated(table(spark, d, "documents", "doc_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that were cut off."""
+    return p9_ends(spark, d).where("truncated").select("doc_id").distinct()
+
+
+def p9_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncated.by_source(table(spark, d, "documents", "doc_id", "source"), p9_ends(spark, d))
+
+
 _P2_SQL = f"""
 with s as (select run_id, stem, arg_max({{'k': keyword_score, 's': semantic_score}}, loaded_at) v from scores group by run_id, stem),
 e0 as (select run_id, stem, req_id, arg_max({{'k': kw_hit, 's': sem_raw}}, loaded_at) v from evidence group by all),
@@ -118,7 +133,7 @@ _SQL = {
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage)
+        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage, p9_ends, p9_found, p9_sources)
     }
 
 
