@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit_sql
-from rankloom.llm import blend, canon, names, packing, split, tokens, truncated
+from rankloom.llm import blend, canon, names, packing, personal, split, tokens, truncated
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +54,36 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ranked(spark, d).join(runs, "run_id").where("rank <= shortlist").select("run_id", "stem")
 
 
+#: Key of the surrogates; a parameter in production.
+P3_KEY = os.environ.get("RANKLOOM_KEY", "rankloom").encode()
+
+
+def _p3_rows(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
+    """(place, stem, pos, text, names) of all texts, and the given names borne often."""
+    c = table(spark, d, "candidates", "stem", "name", "email", "raw_text").distinct()
+    names = F.array("name")
+    raw = c.where("raw_text is not null").select("stem", F.posexplode(F.split("raw_text", "\n")).alias("i", "text"), names.alias("names"))
+    raw = raw.select(F.lit("raw_text").alias("place"), "stem", (F.col("i") + 1).cast("int").alias("pos"), "text", "names")
+    mail = c.where("email is not null").select(F.lit("email").alias("place"), "stem", F.lit(0).alias("pos"), F.col("email").alias("text"), names.alias("names"))
+    u = table(spark, d, "units", "stem", "unit_idx", "text").repartition("stem").dropDuplicates(["stem", "unit_idx", "text"])
+    own = c.where("name is not null").groupBy("stem").agg(F.collect_set("name").alias("names"))
+    unit = u.join(own, "stem", "left").select(F.lit("unit").alias("place"), "stem", F.col("unit_idx").alias("pos"), "text", "names")
+    return raw.unionByName(mail).unionByName(unit), personal.common_given_names(c)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Places that hold personal information, by kind."""
+    rows, given = _p3_rows(spark, d)
+    return personal.places(rows, given).distinct()
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with every item replaced by a typed placeholder with a surrogate."""
+    rows, given = _p3_rows(spark, d)
+    again = personal.collisions(rows, given, P3_KEY)
+    return personal.mask(rows, given, P3_KEY, again).distinct()
+
+
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
     """Each stem with the spelling class of its name and the person or agency it stands for."""
     return names.link_names(table(spark, d, "candidates", "stem", "name"))
@@ -133,7 +164,7 @@ _SQL = {
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage, p9_ends, p9_found, p9_sources)
+        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p3_found, p3_masked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage, p9_ends, p9_found, p9_sources)
     }
 
 
