@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit_sql
-from rankloom.llm import blend, canon, names, packing, personal, split, tokens, truncated
+from rankloom.llm import blend, canon, names, packing, personal, scans, split, tokens, truncated
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(found, F.col("entered") == F.col("__e")).select("place", "rec", "entered", "skill")
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Each raw_text as continuous paragraphs."""
+    return scans.repair(table(spark, d, "candidates", "stem", "raw_text", "source_format"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines with scan noise, by kind."""
+    return scans.find_noise(table(spark, d, "candidates", "stem", "raw_text", "source_format"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents", "doc_id", "text"))
 
@@ -164,7 +174,7 @@ _SQL = {
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p3_found, p3_masked, p4_entities, p4_found, p5_found, p7_ids, p7_round_trip, p8_containers, p8_usage, p9_ends, p9_found, p9_sources)
+        for f in (p1_pieces, p1_found, p2_found, p2_ranked, p3_found, p3_masked, p4_entities, p4_found, p5_found, p6_found, p6_repaired, p7_ids, p7_round_trip, p8_containers, p8_usage, p9_ends, p9_found, p9_sources)
     }
 
 
