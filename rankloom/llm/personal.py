@@ -17,6 +17,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -95,8 +96,20 @@ _ADDRESS = regex.compile(
 _TITLED = regex.compile(rf"(?<![\p{{L}}'’-])(?:{_TITLE}|M\.)\s+(?:\p{{Lu}}\.\s?)*{_CAP}(?:\s(?!{_FIRMS}){_CAP}){{0,2}}(?:,\s(?:\p{{Lu}}\.|{_CAP}(?!\s\p{{Lu}}|['’]s)))?")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}.'’-])(?:\p{{Lu}}\.[\s-]?){{1,3}}\p{{Lu}}[\p{{L}}'’-]{{2,}}(?!\p{{L}})")
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
+# Quick looks that spare most texts the patterns above; each holds wherever its patterns can match.
+_CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*")
+_MARKED = re.compile(r"\b(?:[^\W\d_]\.|(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Mme|Mlle|Sr|Sra|Señora?|Monsieur|Madame)\b\.?\s)")
+_AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
+_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d[^\W\d_]?[()\s./-]{0,3}\d[()\s./-]{0,3}\d[()\s./-]{0,3}\d")
+_STREET = re.compile(
+    r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Boulevard|Blvd|Way|Place|Square|Sq|Terrace|Crescent|Row|Walk|Hill|Parade|Gardens|Grove|Mews|Alley|Quay)\b"
+    r"|(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|markt)\s\d|\b(?:Am|An de[rn]|Im|In der|Auf de[rm]|Zum|Zur|Unter den|Alte|Neue|Große|Kleine)\s\w"
+    r"|(?i:\b(?:rue|avenue|chemin|place|boulevard|allée|impasse|quai|route|cours|square|passage)\s)|(?:\bCalle|C/|Plaza|Avda|Avenida|Paseo|Camino|Carretera|Ronda|Travesía|Via|Viale|Piazza|Corso)\b"
+)
 
 
+@lru_cache(maxsize=100_000)
 def _lower(word: str) -> str:
     s = unicodedata.normalize("NFKD", word.lower())
     return "".join(c for c in s if not unicodedata.combining(c)).replace("ø", "o").replace("’", "'")
@@ -106,33 +119,49 @@ class Finder:
     """Finds items in one text. ``given``: lower-case given names without accents."""
 
     def __init__(self, given: set[str]):
+        self.known: dict[str, bool] = {}
         self.given = given | {_lower(n) for n in (*_FEMALE, *_MALE, *_NICKNAMES)}
 
     def _own(self, text: str, names: list[str]) -> list[tuple[int, int]]:
         """Where the record's own names stand, however spaced and in whatever case."""
         out = []
+        flat = None
         for n in names:
-            parts, tokens = n.split(), tokens_of(n)
-            if len(tokens) > 1 and not organisation(tokens):
-                out += [m.span() for m in regex.finditer(r"(?<!\p{L})" + r"\s+".join(map(regex.escape, parts)) + r"(?!\p{L})", text, regex.I)]
+            flat = " ".join(text.lower().split()) if flat is None else flat
+            if " ".join(n.lower().split()) not in flat:
+                continue
+            tokens = tokens_of(n)
+            if len(tokens) < 2 or organisation(tokens):
+                continue
+            if (a := text.find(n.strip())) >= 0 and text.count(n.strip()) == 1:
+                spans = [(a, a + len(n.strip()))]
+            else:
+                spans = [m.span() for m in regex.finditer(r"\s+".join(map(regex.escape, n.split())), text, regex.I)]
+            out += [(a, b) for a, b in spans if not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha()]
         return out
 
     def _names(self, text: str, names: list[str]) -> list[tuple[int, int]]:
         out = self._own(text, names)
-        out += [m.span() for m in _TITLED.finditer(text) if not _lower(_WORDS.findall(m.group())[-1]) in _NOT_NAMES]
-        out += [m.span() for m in _INITIAL.finditer(text) if not regex.match(_FIRMS, m.group().split()[-1])]
-        words = [m for m in _WORDS.finditer(text)]
-        i = 0
-        while i < len(words):
-            w = words[i]
-            base = w.group().removesuffix("'s").removesuffix("’s")
-            if base[0].isupper() and _lower(base) in self.given:
-                span = self._around(text, words, i)
-                if span:
+        if _MARKED.search(text):
+            out += [m.span() for m in _TITLED.finditer(text) if not _lower(_WORDS.findall(m.group())[-1]) in _NOT_NAMES]
+            out += [m.span() for m in _INITIAL.finditer(text) if not regex.match(_FIRMS, m.group().split()[-1])]
+        # Words are taken apart only where a given name stands.
+        caps = _CAPITALS.findall(text)
+        if any(self._is_given(w) for w in caps):
+            words = list(_WORDS.finditer(text))
+            for i, w in enumerate(words):
+                if w.group()[0].isupper() and self._is_given(w.group()) and (span := self._around(text, words, i)):
                     out.append(span)
-            i += 1
         return out
 
+    def _is_given(self, word: str) -> bool:
+        known = self.known.get(word)
+        if known is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            known = self.known[word] = _lower(word.removesuffix("'s").removesuffix("’s")) in self.given
+        return known
+
     def _around(self, text: str, words: list, i: int) -> tuple[int, int] | None:
         """The full name around a given name: given names and a family name after it, or a family name before it."""
 
@@ -162,12 +191,13 @@ class Finder:
         if not text:
             return []
         found: list[tuple[int, int, str]] = []
-        if "@" in text or "at" in text.lower():
+        if "@" in text or _AT.search(text):
             found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-        if any(c.isdigit() for c in text):
+        if _DIGITS.search(text):
             found += [(*m.span("n"), "id") for m in _LABELLED.finditer(text)]
             found += [(*m.span(), "id") for m in _ID.finditer(text)]
             found += [(*m.span(), "phone") for m in _PHONE.finditer(text)]
+        if _DIGIT.search(text) and _STREET.search(text):
             found += [(*m.span(), "address") for m in _ADDRESS.finditer(text)]
         found += [(a, b, "name") for a, b in self._names(text, names)]
         rank = {k: n for n, k in enumerate(("email", "id", "phone", "address", "name"))}
