@@ -19,7 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,10 +98,12 @@ _INITIAL = regex.compile(rf"(?<![\p{{L}}.'’-])(?:\p{{Lu}}\.[\s-]?){{1,3}}\p{{L
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 # Quick looks that spare most texts the patterns above; each holds wherever its patterns can match.
 _CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:['’-][^\W\d_]+)*")
-_MARKED = re.compile(r"\b(?:[^\W\d_]\.|(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Mme|Mlle|Sr|Sra|Señora?|Monsieur|Madame)\b\.?\s)")
+_MARKED = re.compile(r"\b(?:[^\W\d_a-zß-öø-ÿ]\.|(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx|Sir|Herr|Frau|Mme|Mlle|Sr|Sra|Señora?|Monsieur|Madame)\b\.?\s)")
 _AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 _DIGIT = re.compile(r"\d")
-_DIGITS = re.compile(r"\d[^\W\d_]?[()\s./-]{0,3}\d[()\s./-]{0,3}\d[()\s./-]{0,3}\d")
+_GIVEN, _MARK, _NUMBER, _SIGN, _WAY, _LABEL = 1, 2, 4, 8, 16, 32
+_DIGITS = re.compile(r"\d(?:[\s()./-]{0,3}\d){8}|[A-Z]{1,3}[ -]?\d(?:[\s-]?\d){5}")
+_LABELS = frozenset("passport tax national identity insurance soc social id payroll permit personal".split())
 _STREET = re.compile(
     r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Boulevard|Blvd|Way|Place|Square|Sq|Terrace|Crescent|Row|Walk|Hill|Parade|Gardens|Grove|Mews|Alley|Quay)\b"
     r"|(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|markt)\s\d|\b(?:Am|An de[rn]|Im|In der|Auf de[rm]|Zum|Zur|Unter den|Alte|Neue|Große|Kleine)\s\w"
@@ -120,40 +122,61 @@ class Finder:
 
     def __init__(self, given: set[str]):
         self.known: dict[str, bool] = {}
+        self.bits: dict[str, int] = {}
         self.given = given | {_lower(n) for n in (*_FEMALE, *_MALE, *_NICKNAMES)}
 
     def _own(self, text: str, names: list[str]) -> list[tuple[int, int]]:
         """Where the record's own names stand, however spaced and in whatever case."""
         out = []
-        flat = None
+        low = text.lower()
         for n in names:
-            flat = " ".join(text.lower().split()) if flat is None else flat
-            if " ".join(n.lower().split()) not in flat:
+            parts = n.lower().split()
+            if not parts or max(parts, key=len) not in low or " ".join(parts) not in " ".join(low.split()):
                 continue
             tokens = tokens_of(n)
             if len(tokens) < 2 or organisation(tokens):
                 continue
-            if (a := text.find(n.strip())) >= 0 and text.count(n.strip()) == 1:
-                spans = [(a, a + len(n.strip()))]
+            whole = n.strip()
+            if (a := text.find(whole)) >= 0 and low.count(whole.lower()) == 1:
+                spans = [(a, a + len(whole))]
             else:
                 spans = [m.span() for m in regex.finditer(r"\s+".join(map(regex.escape, n.split())), text, regex.I)]
             out += [(a, b) for a, b in spans if not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha()]
         return out
 
-    def _names(self, text: str, names: list[str]) -> list[tuple[int, int]]:
-        out = self._own(text, names)
-        if _MARKED.search(text):
+    def _names(self, text: str, marks: int) -> list[tuple[int, int]]:
+        out = []
+        if marks & _MARK:
             out += [m.span() for m in _TITLED.finditer(text) if not _lower(_WORDS.findall(m.group())[-1]) in _NOT_NAMES]
             out += [m.span() for m in _INITIAL.finditer(text) if not regex.match(_FIRMS, m.group().split()[-1])]
         # Words are taken apart only where a given name stands.
-        caps = _CAPITALS.findall(text)
-        if any(self._is_given(w) for w in caps):
+        if marks & _GIVEN:
             words = list(_WORDS.finditer(text))
             for i, w in enumerate(words):
                 if w.group()[0].isupper() and self._is_given(w.group()) and (span := self._around(text, words, i)):
                     out.append(span)
         return out
 
+    def _marks(self, text: str) -> int:
+        """What the tokens of a text may be part of, as bits; the bits of a token are worked out once."""
+        bits, known = 0, self.bits
+        for token in text.split():
+            b = known.get(token)
+            if b is None:
+                if len(known) > 200_000:
+                    known.clear()
+                b = known[token] = self._token_bits(token)
+            bits |= b
+        return bits
+
+    def _token_bits(self, token: str) -> int:
+        b = _GIVEN if any(self._is_given(w) for w in _CAPITALS.findall(token)) else 0
+        b |= _MARK if _MARKED.search(token + " ") else 0
+        b |= _LABEL if token.lower().strip(".,;:()") in _LABELS else 0
+        b |= _NUMBER if _DIGIT.search(token) else 0
+        b |= _SIGN if "@" in token or token[-1] in "([{" or _AT.search(token) or re.search(r"[\[({]at$", token, re.I) else 0
+        return b | (_WAY if _STREET.search(f"{token} 1") else 0)
+
     def _is_given(self, word: str) -> bool:
         known = self.known.get(word)
         if known is None:
@@ -190,16 +213,23 @@ class Finder:
         """Items (start, end, kind) of a text in order; none overlap, and the earlier kinds of KINDS go first."""
         if not text:
             return []
+        marks = self._marks(text)
+        own = self._own(text, names) if names else []
+        if not marks and not own:
+            return []
         found: list[tuple[int, int, str]] = []
-        if "@" in text or _AT.search(text):
+        if marks & _SIGN:
             found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-        if _DIGITS.search(text):
-            found += [(*m.span("n"), "id") for m in _LABELLED.finditer(text)]
-            found += [(*m.span(), "id") for m in _ID.finditer(text)]
-            found += [(*m.span(), "phone") for m in _PHONE.finditer(text)]
-        if _DIGIT.search(text) and _STREET.search(text):
-            found += [(*m.span(), "address") for m in _ADDRESS.finditer(text)]
-        found += [(a, b, "name") for a, b in self._names(text, names)]
+        if marks & _NUMBER:
+            if marks & _LABEL or _DIGITS.search(text):
+                found += [(*m.span("n"), "id") for m in _LABELLED.finditer(text)]
+                found += [(*m.span(), "id") for m in _ID.finditer(text)]
+                found += [(*m.span(), "phone") for m in _PHONE.finditer(text)]
+            if marks & _WAY and _STREET.search(text):
+                found += [(*m.span(), "address") for m in _ADDRESS.finditer(text)]
+        found += [(a, b, "name") for a, b in own + self._names(text, marks)]
+        if not found:
+            return []
         rank = {k: n for n, k in enumerate(("email", "id", "phone", "address", "name"))}
         kept: list[tuple[int, int, str]] = []
         for item in sorted(found, key=lambda x: (rank[x[2]], x[0] - x[1])):
@@ -378,18 +408,24 @@ def common_given_names(names: DataFrame, name: str = "name") -> set[str]:
 
 
 def _in_texts(rows: DataFrame, given: set[str], out, schema: str) -> DataFrame:
-    """Runs ``out(finder, place, stem, pos, text, names)`` over rows (place, stem, pos, text, names)."""
+    """Runs ``out(finder, place, stem, pos, text, names)`` over rows (place, stem, pos, text, names); names: lines of a string or null."""
     sent = rows.sparkSession.sparkContext.broadcast(given)
+    fields = [tuple(c.split()) for c in schema.split(", ")]
+    kinds = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(sent.value)
+        last: tuple = (None, [])
         for batch in batches:
             made = []
-            for place, stem, pos, text, names in batch[["place", "stem", "pos", "text", "names"]].itertuples(index=False, name=None):
-                made += out(finder, place, stem, pos, text, [n for n in names if n] if names is not None else [])
-            yield pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")], dtype=object)
+            for place, stem, pos, text, names in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if names != last[0]:
+                    last = (names, [n for n in (names or "").split("\n") if n.strip()])
+                made += out(finder, place, stem, pos, text, last[1])
+            columns = zip(*made) if made else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
-    return rows.select("place", "stem", "pos", "text", "names").mapInPandas(run, schema)
+    return rows.select("place", "stem", "pos", "text", "names").mapInArrow(run, schema)
 
 
 def places(rows: DataFrame, given: set[str]) -> DataFrame:
@@ -433,7 +469,7 @@ def collisions(rows: DataFrame, given: set[str], key: bytes) -> dict[str, int]:
 def mask(rows: DataFrame, given: set[str], key: bytes, again: dict[str, int] | None = None) -> DataFrame:
     """(place, stem, pos, text) with every item replaced by [KIND surrogate]; all else stays as it is.
 
-    ``rows``: place, stem, pos, text and names (array of the record's own names or null). Null texts stay null, empty ones empty;
+    ``rows``: place, stem, pos, text and names (the record's own names, one a line, or null). Null texts stay null, empty ones empty;
     repeated rows stay repeated.
     """
 

@@ -59,15 +59,13 @@ P3_KEY = os.environ.get("RANKLOOM_KEY", "rankloom").encode()
 
 
 def _p3_rows(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
-    """(place, stem, pos, text, names) of all texts, and the given names borne often."""
-    c = table(spark, d, "candidates", "stem", "name", "email", "raw_text").distinct()
-    names = F.array("name")
-    raw = c.where("raw_text is not null").select("stem", F.posexplode(F.split("raw_text", "\n")).alias("i", "text"), names.alias("names"))
-    raw = raw.select(F.lit("raw_text").alias("place"), "stem", (F.col("i") + 1).cast("int").alias("pos"), "text", "names")
-    mail = c.where("email is not null").select(F.lit("email").alias("place"), "stem", F.lit(0).alias("pos"), F.col("email").alias("text"), names.alias("names"))
-    u = table(spark, d, "units", "stem", "unit_idx", "text").repartition("stem").dropDuplicates(["stem", "unit_idx", "text"])
-    own = c.where("name is not null").groupBy("stem").agg(F.collect_set("name").alias("names"))
-    unit = u.join(own, "stem", "left").select(F.lit("unit").alias("place"), "stem", F.col("unit_idx").alias("pos"), "text", "names")
+    """(place, stem, pos, text, names) of all texts, and the given names borne often; repeated rows go at the end, when they are small."""
+    c = table(spark, d, "candidates", "stem", "name", "email", "raw_text")
+    raw = c.where("raw_text is not null").select("stem", F.posexplode(F.split("raw_text", "\n")).alias("i", "text"), "name")
+    raw = raw.select(F.lit("raw_text").alias("place"), "stem", (F.col("i") + 1).cast("int").alias("pos"), "text", F.col("name").alias("names"))
+    mail = c.where("email is not null").select(F.lit("email").alias("place"), "stem", F.lit(0).alias("pos"), F.col("email").alias("text"), F.col("name").alias("names"))
+    own = c.where("name is not null").select("stem", "name").distinct().groupBy("stem").agg(F.array_join(F.collect_list("name"), "\n").alias("names"))
+    unit = table(spark, d, "units", "stem", "unit_idx", "text").join(own, "stem", "left").select(F.lit("unit").alias("place"), "stem", F.col("unit_idx").alias("pos"), "text", "names")
     return raw.unionByName(mail).unionByName(unit), personal.common_given_names(c)
 
 
