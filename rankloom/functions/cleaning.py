@@ -8,7 +8,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters of typesetting -> plain ones.
 GLYPHS = {
@@ -26,8 +28,12 @@ def clean(text: str) -> str:
     return re.sub(r"(?m)^[-*•●▪‣]\s*\n+(?=\S)", "- ", t).strip()
 
 
-@F.pandas_udf("string")
-def clean_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """clean() of each text; null stays null."""
-    for b in batches:
-        yield b.map(lambda t: None if t is None else clean(t))
+def clean_text(text: Column) -> Column:
+    """clean() of a column; null stays null."""
+
+    @F.pandas_udf(StringType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(lambda t: None if t is None else clean(t))
+
+    return run(text)
