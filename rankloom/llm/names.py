@@ -134,8 +134,8 @@ def compare(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> tup
 
 
 def _spans(tokens: list[str]) -> list[tuple[int, int]]:
-    """Tokens and pairs of neighbours of four letters or more."""
-    return [(i, j) for i in range(len(tokens)) for j in (i + 1, i + 2) if j <= len(tokens) and sum(map(len, tokens[i:j])) > 3]
+    """Tokens and pairs of neighbours of four letters or more; those that part the generations aren't among them."""
+    return [(i, j) for i in range(len(tokens)) for j in (i + 1, i + 2) if j <= len(tokens) and sum(map(len, tokens[i:j])) > 3 and not {"jr", "sr"} & set(tokens[i:j])]
 
 
 def _firms(ra: list[str], rb: list[str]) -> tuple[str, float]:
@@ -153,15 +153,16 @@ def _people(a, b, ra, rb, va, vb, base: float, floor: float) -> tuple[str, float
     if not ra or not rb:
         return ("full", 1.0) if not ra and not rb else ("", 0.0)
     got = lost = 0.0
+    first = _alike(ra[0], rb[0]) > 0.75
     for n, (x, y) in enumerate(zip(ra, rb)):
         s = _alike(x, y)
-        # An initial stands for a given name, not for a token that weighs as much as the family name, unless no other is left.
-        sure = len(x) == 1 and _is_initial(a) or len(y) == 1 and _is_initial(b)
+        # Unless the first given names agree, an initial stands for none that weighs as much as the family name, if another could be left.
+        sure = first or len(x) == 1 and _is_initial(a) or len(y) == 1 and _is_initial(b)
         if s == 0.0 or (s == 0.7 and max(va[n], vb[n]) > floor and not sure):
             return "", 0.0
         got += s * max(va[n], vb[n])
         lost += (1 - s) * max(va[n], vb[n])
-    if any(v > floor for v in (*va[len(rb) :], *vb[len(ra) :])):
+    if not first and any(v > floor for v in (*va[len(rb) :], *vb[len(ra) :])):
         return "", 0.0
     lost += 0.5 * (sum(va[len(rb) :]) + sum(vb[len(ra) :]))
     score = (base + got) / (base + got + lost)
