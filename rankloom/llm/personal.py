@@ -51,8 +51,10 @@ _NOT_NAMES = frozenset(
     " please reported resume seit she since so thanks the their then they through to under we when while with without you your ab und et y application name curriculum vitae page email tel phone mobile contact"
     " mr mrs ms miss dr prof sir herr frau references reference manager line deputy signed took".split()
 )
-_FIRMS = r"(?:Holdings|Bank|Freight|Foods|Labs|Power|Ceramics|Textiles|Logistics|Analytics|Instruments|Cooperative|Museums|Health|Trust|Group|College|University|School|Ltd|Limited|GmbH|Inc|LLC|PLC|Staffing|Recruitment|Talent)\b"
+_FIRM_WORDS = r"(?:Holdings|Bank|Freight|Foods|Labs|Power|Ceramics|Textiles|Logistics|Analytics|Instruments|Cooperative|Museums|Health|Trust|Group|College|University|School|Ltd|Limited|GmbH|Inc|LLC|PLC|Staffing|Recruitment|Talent)\b"
 
+_FIRM, _FIRM_NEXT = regex.compile(_FIRM_WORDS), regex.compile(rf"\s{_FIRM_WORDS}")
+_GAP, _LINE_GAP, _COMMA_GAP = regex.compile(r"\.?\s+"), regex.compile(r"\.?[^\S\n]+"), regex.compile(r",?[^\S\n]+")
 _EMAIL = regex.compile(
     r"(?<![\w.+-])[\w][\w.+-]*(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)[\w-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)[\w-]+)+", regex.I
 )
@@ -93,7 +95,7 @@ _ADDRESS = regex.compile(
     r"|(?:Calle|C/|Plaza|Avda\.?|Avenida|Paseo|Camino|Carretera|Ronda|Travesía|Via|Viale|Piazza|Corso)\s(?:(?:de|del|la|las|los|el|di|della|dei)\s)*\p{Lu}?[\p{L}'’-]+(?:\s(?:(?:de|del|la|los|las)\s)?\p{Lu}[\p{L}'’-]+)*,?\s\d{1,4}(?:,\s\d{1,2}[ºª°]\s?\w?)?"
     rf")(?![\p{{L}}\d])(?:,?\s(?:\d{{5}}\s)?{_CITY},?\s\d{{5}}\b|,\s\d{{5}}\s{_CITY}|,\s{_CITY})?"
 )
-_TITLED = regex.compile(rf"(?<![\p{{L}}'’-])(?:{_TITLE}|M\.)\s+(?:\p{{Lu}}\.\s?)*{_CAP}(?:\s(?!{_FIRMS}){_CAP}){{0,2}}(?:,\s(?:\p{{Lu}}\.|{_CAP}(?!\s\p{{Lu}}|['’]s)))?")
+_TITLED = regex.compile(rf"(?<![\p{{L}}'’-])(?:{_TITLE}|M\.)\s+(?:\p{{Lu}}\.\s?)*{_CAP}(?:\s(?!{_FIRM_WORDS}){_CAP}){{0,2}}(?:,\s(?:\p{{Lu}}\.|{_CAP}(?!\s\p{{Lu}}|['’]s)))?")
 _INITIAL = regex.compile(rf"(?<![\p{{L}}.'’-])(?:\p{{Lu}}\.[\s-]?){{1,3}}\p{{Lu}}[\p{{L}}'’-]{{2,}}(?!\p{{L}})")
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 # Quick looks that spare most texts the patterns above; each holds wherever its patterns can match.
@@ -148,7 +150,7 @@ class Finder:
         out = []
         if marks & _MARK:
             out += [m.span() for m in _TITLED.finditer(text) if not _lower(_WORDS.findall(m.group())[-1]) in _NOT_NAMES]
-            out += [m.span() for m in _INITIAL.finditer(text) if not regex.match(_FIRMS, m.group().split()[-1])]
+            out += [m.span() for m in _INITIAL.finditer(text) if not _FIRM.match(m.group().split()[-1])]
         # Words are taken apart only where a given name stands.
         if marks & _GIVEN:
             words = list(_WORDS.finditer(text))
@@ -193,19 +195,19 @@ class Finder:
 
         def family(m) -> bool:
             s = m.group().removesuffix("'s").removesuffix("’s")
-            return len(s) > 2 and s[0].isupper() and _lower(s) not in _NOT_NAMES and _lower(s) not in self.given and not regex.match(_FIRMS, s)
+            return len(s) > 2 and s[0].isupper() and _lower(s) not in _NOT_NAMES and _lower(s) not in self.given and not _FIRM.match(s)
 
         possessive = words[i].group().endswith(("'s", "’s"))
         j = i
         # Further given names and initials.
-        while not possessive and j + 1 < len(words) and regex.fullmatch(r"\.?\s+", next_to(words[j], words[j + 1])) and (_lower(words[j + 1].group()) in self.given or (len(words[j + 1].group()) == 1 and words[j + 1].group().isupper())):
+        while not possessive and j + 1 < len(words) and _GAP.fullmatch(next_to(words[j], words[j + 1])) and (_lower(words[j + 1].group()) in self.given or (len(words[j + 1].group()) == 1 and words[j + 1].group().isupper())):
             j += 1
-        if not possessive and j + 1 < len(words) and regex.fullmatch(r"\.?[^\S\n]+", next_to(words[j], words[j + 1])) and family(words[j + 1]):
+        if not possessive and j + 1 < len(words) and _LINE_GAP.fullmatch(next_to(words[j], words[j + 1])) and family(words[j + 1]):
             after = text[words[j + 1].end() :]
-            if regex.match(rf"\s{_FIRMS}", after) is None:
+            if _FIRM_NEXT.match(after) is None:
                 end = words[j + 1].end() - (2 if words[j + 1].group().endswith(("'s", "’s")) else 0)
                 return words[i].start(), end
-        if i and regex.fullmatch(r",?[^\S\n]+", next_to(words[i - 1], words[i])) and family(words[i - 1]):
+        if i and _COMMA_GAP.fullmatch(next_to(words[i - 1], words[i])) and family(words[i - 1]):
             return words[i - 1].start(), words[j].end() - (2 if words[j].group().endswith(("'s", "’s")) else 0)
         return None
 

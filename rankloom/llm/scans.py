@@ -50,6 +50,15 @@ _PAGE = re.compile(
 _PAGE_INSIDE = re.compile(r"(?:^|[\s|·•–—-])(?:page|seite|página|p\.|p[aá@][gq9][ec])\s*[\dlIO|]{1,3}(?:\s*(?:of|von|de|/)\s*[\dlIO|]{1,3})?\s*$", re.I)
 
 
+_ODD, _LETTER, _SYMBOL = re.compile(r"[^\p{L}\p{M}'’]"), re.compile(r"\p{L}"), re.compile(r"[\d@+|$!]")
+_PIECE = re.compile(rf"[^{_HYPHENS}–—•*]+")
+_CAPITALS = re.compile(r"[\p{Lu}l]+")
+_NUMBER = re.compile(r"[\d.,%]+|\d+[a-z]?|\p{L}\d\p{L}|\d\p{L}|\p{L}{0,3}\d[\d\p{Lu}-]*")
+_DIGITS, _BLANKS, _C_BAR = re.compile(r"\d+"), re.compile(r"\s+"), re.compile(r"c[1|]")
+_BROKEN = re.compile(rf"([\p{{L}}\p{{N}}@+|]+)[{_HYPHENS}]$")
+_HEAD = re.compile(rf"([^\s,;:()\-‐]+)[{_HYPHENS}]$")
+_TAIL = re.compile(r"\s*([^\s,;:()\-‐]+)")
+_BEGIN = re.compile(r"\s*([\p{L}\p{N}@+|]+)")
 _ROMAN = {"i": 1, "l": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12, "xiii": 13, "xiv": 14, "xv": 15}
 
 
@@ -58,7 +67,7 @@ def words(text: str) -> list[str]:
 
 
 def _squeezed(line: str) -> str:
-    return re.sub(r"\d+", "#", re.sub(r"\s+", " ", line.strip())).lower()
+    return _DIGITS.sub("#", _BLANKS.sub(" ", line.strip())).lower()
 
 
 def page_lines(lines: list[str]) -> set[int]:
@@ -158,7 +167,7 @@ class Lexicon:
     @staticmethod
     def _forms(word: str) -> set[str]:
         """The word with symbols read as letters, and letter groups as the letters they look like."""
-        base = "".join(_SYMBOLS.get(c, c) for c in re.sub(r"c[1|]", "d", word))
+        base = "".join(_SYMBOLS.get(c, c) for c in _C_BAR.sub("d", word))
         forms = {base.replace("1", a).replace("|", a).replace("!", a) for a in "li"}
         for f in list(forms):
             forms |= {f.replace(a, b) for a, b in (("rn", "m"), ("ii", "u"), ("cl", "d"), ("vv", "w")) if a in f}
@@ -176,8 +185,8 @@ class Lexicon:
 
     def repair(self, word: str, before: str, after: str, extra: Counter | None = None) -> str | None:
         """What a doubtful lower-case word most likely stands for, or None if it may stay."""
-        strange = re.search(r"[^\p{L}\p{M}'’]", word) is not None
-        if len(word) < 3 and not strange or len(word) > 30 or not re.search(r"\p{L}", word) or len(re.findall(r"[\d@+|$!]", word)) * 2 > len(word):
+        strange = _ODD.search(word) is not None
+        if len(word) < 3 and not strange or len(word) > 30 or not _LETTER.search(word) or strange and len(_SYMBOL.findall(word)) * 2 > len(word):
             return None
         own = 0 if strange else self.counts.get(word, 0)
         if not strange and extra is not None and extra[word] > 1 and own == 0:
@@ -231,10 +240,10 @@ class Page:
 
     def _goes_on(self, i: int, lex: Lexicon) -> bool:
         line = self.lines[i].rstrip()
-        m = re.search(rf"([\p{{L}}\p{{N}}@+|]+)[{_HYPHENS}]$", line)
-        if i not in self.next or m is None or not re.search(r"\p{L}", line[-4:]):
+        m = _BROKEN.search(line) if line[-1:] in _HYPHENS else None
+        if i not in self.next or m is None or not _LETTER.search(line[-4:]):
             return False
-        follow = re.match(r"\s*([\p{L}\p{N}@+|]+)", self.lines[self.next[i]])
+        follow = _BEGIN.match(self.lines[self.next[i]])
         if follow is None:
             return False
         a, b = m.group(1).lower(), follow.group(1).lower()
@@ -250,7 +259,7 @@ class Page:
         for m in _TOKEN.finditer(body):
             if any(a < m.end() and m.start() < b for a, b in mail):
                 continue
-            for p in re.finditer(rf"[^{_HYPHENS}–—•*]+", m.group()):
+            for p in _PIECE.finditer(m.group()):
                 a = m.start() + p.start()
                 s = p.group().strip(".?…'’*•")
                 if s:
@@ -258,13 +267,13 @@ class Page:
         for k, (a, s) in enumerate(tokens):
             first, last = k == 0 and continued, k == len(tokens) - 1 and broken and a + len(s) == len(body)
             # A small l among capitals is a misread I.
-            low = s.replace("l", "1").lower() if re.fullmatch(r"[\p{Lu}l]+", s) and "l" in s and sum(c.isupper() for c in s) > 2 else s.lower()
-            if re.fullmatch(r"[\d.,%]+|\d+[a-z]?|\p{L}\d\p{L}|\d\p{L}|[\p{L}]{0,3}\d[\d\p{Lu}-]*", s):
+            low = s.replace("l", "1").lower() if "l" in s and s[:2] != s[:2].lower() and _CAPITALS.fullmatch(s) and sum(c.isupper() for c in s) > 2 else s.lower()
+            if _NUMBER.fullmatch(s):
                 continue
             before = tokens[k - 1][1].lower() if k else ""
             after = tokens[k + 1][1].lower() if k + 1 < len(tokens) else ""
             if last:
-                rest = re.match(r"\s*([^\s,;:()\-‐]+)", self.lines[self.next[i]])
+                rest = _TAIL.match(self.lines[self.next[i]])
                 tail = rest.group(1).rstrip(".?…").lower() if rest else ""
                 whole = lex.repair(low + tail, before, "", extra)
                 if low + tail not in lex.counts and whole and not whole.startswith(low):
@@ -274,7 +283,7 @@ class Page:
                 continue
             if first:
                 prior = next(j for j, n in self.next.items() if n == i)
-                head = re.search(rf"([^\s,;:()\-‐]+)[{_HYPHENS}]$", self.lines[prior].rstrip())
+                head = _HEAD.search(self.lines[prior].rstrip())
                 start = head.group(1).lower() if head else ""
                 whole = lex.repair(start + low, "", after, extra)
                 if start + low not in lex.counts and whole and not whole.endswith(low):
@@ -364,6 +373,13 @@ def build_lexicon(texts: DataFrame, key: str, text: str) -> tuple[dict[str, int]
     return {r["a"]: r["count"] for r in one}, {(r["a"], r["b"]): r["count"] for r in two}
 
 
+def _once(candidates: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """Each distinct row with a text, spread by key over all cores, as there is much work a row."""
+    spark = candidates.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 2 * spark.sparkContext.defaultParallelism)
+    return candidates.select(key, text, kind).where(F.col(text).isNotNull()).repartition(wide, key).dropDuplicates([key, text, kind])
+
+
 def _each(texts: DataFrame, key: str, text: str, out, schema: str) -> DataFrame:
     counts, pairs = build_lexicon(texts, key, text)
     sent = texts.sparkSession.sparkContext.broadcast((counts, pairs))
@@ -385,7 +401,7 @@ def find_noise(candidates: DataFrame, key: str = "stem", text: str = "raw_text",
     The lexicon is that of all rows. Null and empty texts have no row; repeated rows count once; extra columns are left out; an
     empty table gives an empty one.
     """
-    texts = candidates.select(key, text, kind).where(F.col(text).isNotNull()).distinct()
+    texts = _once(candidates, key, text, kind)
     out = lambda lex, k, t, s: [(k, i, n) for i, n in Page(t, lex).kinds()]
     run = _each(texts, key, text, out, "stem string, line_no int, kind string")
     rows = texts.where(F.col(kind) == scanned).select(F.col(key).alias("__k"), F.col(text).alias("__t"), F.lit(True).alias("__s"))
@@ -394,7 +410,7 @@ def find_noise(candidates: DataFrame, key: str = "stem", text: str = "raw_text",
 
 def repair(candidates: DataFrame, key: str = "stem", text: str = "raw_text", kind: str = "source_format", scanned: str = "pdf") -> DataFrame:
     """(``key``, text): each scanned text as continuous paragraphs; other texts as they are. Null texts have no row."""
-    texts = candidates.select(key, text, kind).where(F.col(text).isNotNull()).distinct()
+    texts = _once(candidates, key, text, kind)
     out = lambda lex, k, t, s: [(k, Page(t, lex).paragraphs(lex) if s else t)]
     run = _each(texts, key, text, out, "stem string, text string")
     rows = texts.select(F.col(key).alias("__k"), F.col(text).alias("__t"), (F.coalesce(F.col(kind), F.lit("")) == scanned).alias("__s"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import cut
+from rankloom.session import cut, widen
 
 #: Copies that end at the same words, as a share of all copies, up to which they count as cut off themselves.
 NOISE = 0.02
@@ -105,7 +105,7 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     'none' where nothing of the end occurs elsewhere; such a text counts as complete). Repeated rows give repeated rows; a
     null key stays. Extra columns are left out. An empty table gives an empty one. Whole texts are read, whatever their length.
     """
-    ends = _ends(docs, key, text)
+    ends = _ends(widen(docs.select(key, text)), key, text)
     counts = cut(_copies(ends))
     tails = cut(_tails(ends))
     names = ["last", "ks", "k3", "k2", "k1"]
