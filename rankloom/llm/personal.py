@@ -17,7 +17,6 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -113,10 +112,18 @@ _STREET = re.compile(
 )
 
 
-@lru_cache(maxsize=100_000)
 def _lower(word: str) -> str:
-    s = unicodedata.normalize("NFKD", word.lower())
-    return "".join(c for c in s if not unicodedata.combining(c)).replace("ø", "o").replace("’", "'")
+    """Lower case without accents; remembered, as words come again and again."""
+    low = _lowered.get(word)
+    if low is None:
+        if len(_lowered) > 100_000:
+            _lowered.clear()
+        s = unicodedata.normalize("NFKD", word.lower())
+        low = _lowered[word] = "".join(c for c in s if not unicodedata.combining(c)).replace("ø", "o").replace("’", "'")
+    return low
+
+
+_lowered: dict[str, str] = {}
 
 
 class Finder:
