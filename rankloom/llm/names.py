@@ -1,8 +1,7 @@
 """Problem 4: variant spellings of names that stand for the same person or agency.
 
-Names are brought to a class key (case, accents, titles, order and punctuation away). Their tokens go through a
-set-similarity join on q-grams with a prefix filter: of each token's q-grams only the few rarest are indexed, enough that two
-tokens one edit or swap apart must share one. Classes that share an equal or similar rare token are candidates; a soft token
+Names are brought to a class key (case, accents, titles, order and punctuation away). Similar tokens are found by what is left of
+them without one or two letters, so that none within the edits the comparison allows is missed. Classes that share an equal or similar rare token are candidates; a soft token
 similarity, in which rare tokens weigh more, verifies them. Links between full names form components; names with a mere
 initial join a component only if no other fits.
 """
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.edits import edits
 from rankloom.operators.components import connected_components
-from rankloom.session import cut
+from rankloom.session import cut, widen
 
-Q, PREFIX = 4, 6
+#: Tokens of more letters are compared by pieces, not by what is left without some letters.
+LONG = 40
 #: A token in more name classes than this isn't rare; names without a rare token are matched by their whole spelling.
 RARE = 200
 LEAST_SCORE = 0.6
@@ -191,18 +191,53 @@ def _classes(names: DataFrame, name: str) -> DataFrame:
     return names.select(F.col(name).alias("__name")).where(F.col(name).isNotNull()).distinct().mapInPandas(run, "__name string, key string, tokens array<string>")
 
 
+def _traces(word: str) -> set[str]:
+    """What is left of a token, or of the name it is short for, without up to as many letters as ``_alike`` allows edits.
+
+    Two tokens that are alike have a trace in common, as each edit or swap is undone by leaving out one letter on each side. Long
+    tokens leave five pieces instead, of which two edits or swaps spare one, looked for up to two places off.
+    """
+    out = set()
+    for w in {word, _NICKNAMES.get(word, word)}:
+        n = len(w)
+        # A nickname is allowed the edits of its full name.
+        most = max(n, len(_NICKNAMES.get(w, w)))
+        if n <= LONG + 2:
+            out.add(w)
+            if most > 2:
+                out |= {w[:i] + w[i + 1 :] for i in range(n)}
+            if most > 6:
+                out |= {w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(n) for j in range(i + 1, n)}
+        if n > LONG:
+            for m in range(n - 2, n + 3):
+                ends = [m * k // 5 for k in range(6)]
+                for k in range(5):
+                    out |= {f"{m} {k} {w[i : i + ends[k + 1] - ends[k]]}" for i in range(max(0, ends[k] - 2), ends[k] + 3)}
+    return out
+
+
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the tokens within one edit or swap (two in long ones, where a rare q-gram is left in common)."""
-    ends = "#" * (Q - 1)
-    padded = F.concat(F.lit(ends), F.col("token"), F.lit(ends))
-    grams = tokens.select("token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") + Q - 1), lambda i: F.struct(i.cast("int").alias("pos"), F.substring(padded, i, Q).alias("gram")))).alias("g")).select("token", "g.gram", "g.pos")
-    df = grams.groupBy(F.col("gram").alias("__gram")).agg(F.count("*").alias("df"))
-    ranked = grams.join(df, F.col("gram") == F.col("__gram")).groupBy("token").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "gram", "pos"))), 1, PREFIX).alias("p"))
-    index = cut(ranked.select("token", F.explode("p").alias("p")).select("token", "p.gram", "p.pos", F.length("token").alias("n")))
-    a = index.select(F.col("token").alias("a"), "gram", F.col("pos").alias("pa"), F.col("n").alias("na"))
-    b = index.select(F.col("token").alias("b"), F.col("gram").alias("gb"), F.col("pos").alias("pb"), F.col("n").alias("nb"))
-    near = a.join(b, (F.col("gram") == F.col("gb")) & (F.col("a") < F.col("b")) & (F.abs(F.col("pa") - F.col("pb")) <= 2) & (F.abs(F.col("na") - F.col("nb")) <= 2))
-    return near.where(F.levenshtein("a", "b", 2) >= 0).select("a", "b").distinct()
+    """(a, b, alike), a < b, of all tokens that ``_alike`` takes for one another; of those with ``one`` false, if given, none among themselves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                out = [(x, t, o) for t, o in zip(part["token"], part["one"]) for x in _traces(t)]
+                yield pd.DataFrame(out, columns=["trace", "token", "one"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["alike"] = [_alike(a, b) for a, b in zip(batch["a"], batch["b"])]
+            yield batch[batch["alike"] > 0]
+
+    words = tokens if "one" in tokens.columns else tokens.select("token", F.lit(True).alias("one"))
+    traces = widen(words.where("length(token) > 1").select("token", "one")).mapInPandas(run, "trace string, token string, one boolean")
+    index = cut(traces.select(F.xxhash64("trace").alias("trace"), "token", "one"))
+    a = index.where("one").select("trace", F.col("token").alias("a"))
+    b = index.select("trace", F.col("token").alias("b"), "one")
+    met = a.join(b, "trace").where("a < b or not one").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return cut(met.mapInPandas(verify, "a string, b string, alike double"))
 
 
 def link_names(people: DataFrame, key: str = "stem", name: str = "name") -> DataFrame:

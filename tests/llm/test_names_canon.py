@@ -69,3 +69,20 @@ def test_a_long_list_is_refused(spark, monkeypatch):
     monkeypatch.setattr(canon, "MOST_TERMS", 3)
     with pytest.raises(ValueError):
         canon.match_values(spark.createDataFrame([("a",)], "entered string"), spark.createDataFrame(TERMS, "term string, canon string"))
+
+
+def test_similar_tokens_find_all_that_are_alike(spark):
+    import random
+
+    rng = random.Random(3)
+    words = {"thisefihhund", "thisephihund", "bob", "bobby", "robert", "xander", "xanderxx", "benny", "lenny", "jim", "kim"}
+    for w in ("thisefihhund", "lizuxot", "quorvan", "tolvarick", "w" * 20 + "kidohoharnfalifligickmok" * 2):
+        for _ in range(40):
+            x = w
+            for _ in range(2):
+                i = rng.randrange(len(x))
+                x = rng.choice([x[:i] + x[i + 1 :], x[:i] + rng.choice("abc") + x[i:], x[:i] + rng.choice("abc") + x[i + 1 :], x[:i] + x[i : i + 2][::-1] + x[i + 2 :]])
+            words.add(x)
+    got = {(r["a"], r["b"]) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    assert got == {p for p in itertools.combinations(sorted(words), 2) if names._alike(*p)}
+    assert ("thisefihhund", "thisephihund") in got
