@@ -1,7 +1,8 @@
 """Problem 4: variant spellings of names that stand for the same person or agency.
 
 Names are brought to a class key (case, accents, titles, order and punctuation away). Similar tokens are found by what is left of
-them without one or two letters, so that none within the edits the comparison allows is missed. Classes that share an equal or similar rare token are candidates; a soft token
+them without one or two letters, so that none within the edits the comparison allows is missed. Classes that share an equal or
+similar token are candidates, those that share a common one if another token agrees as well; a soft token
 similarity, in which rare tokens weigh more, verifies them. Links between full names form components; names with a mere
 initial join a component only if no other fits.
 """
@@ -22,7 +23,7 @@ from rankloom.session import cut, widen
 
 #: Tokens of more letters are compared by pieces, not by what is left without some letters.
 LONG = 40
-#: A token in more name classes than this isn't rare; names without a rare token are matched by their whole spelling.
+#: Tokens in more name classes than this bring together only names whose other tokens are alike, too.
 RARE = 200
 LEAST_SCORE = 0.6
 
@@ -240,6 +241,63 @@ def similar_tokens(tokens: DataFrame) -> DataFrame:
     return cut(met.mapInPandas(verify, "a string, b string, alike double"))
 
 
+def _places(tokens: list[str]) -> Iterator[tuple[str, str, str, bool]]:
+    """(kind, token, rest, one) of each token of a name that may be its family or firm name, and of neighbours run together.
+
+    ``compare`` takes two names only if such tokens are alike, the kinds are equal and so are the rests or alike: of people the first
+    token left, of firms the trade.
+    """
+    org = organisation(tokens)
+    kind = "o" if org else "p" + "".join(t for t in ("jr", "sr") if t in tokens)
+    for i, j in _spans(tokens):
+        left = tokens[:i] + tokens[j:]
+        rest = " ".join(sorted({_trade(w) or w for w in left if w not in _LEGAL})) if org else next((w for w in left if w not in ("jr", "sr")), "")
+        yield kind, "".join(tokens[i:j]), rest, j - i == 1
+
+
+def candidate_pairs(classes: DataFrame) -> DataFrame:
+    """(ka, kb), ka < kb, of the classes (key, tokens) that ``compare`` could take for one: none that it would take is left out.
+
+    Classes that share an equal or similar token are paired. Where one of the two tokens is in more than RARE classes, the rests have
+    to be alike as well, so that a hot name isn't paired with all others of that name.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(k, *place) for k, t in zip(batch["key"], batch["tokens"]) for place in _places(list(t))]
+            yield pd.DataFrame(out, columns=["key", "kind", "token", "rest", "one"])
+
+    posts = cut(classes.select("key", "tokens").mapInPandas(run, "key string, kind string, token string, rest string, one boolean").distinct())
+    words = posts.select("token", "one").unionByName(posts.where("length(rest) > 1 and instr(rest, ' ') = 0").select(F.col("rest").alias("token"), F.lit(True).alias("one")))
+    words = words.groupBy("token").agg(F.max("one").alias("one"))
+    near = similar_tokens(words)
+    size = posts.groupBy("token").agg(F.count_distinct("key").alias("n"), F.max("one").alias("one"))
+    hot = cut(size.where(F.col("n") > RARE).select("token"))
+
+    # Two neighbours run together are compared with one token only.
+    own = size.where("one").select(F.col("token").alias("a"), F.col("token").alias("b"))
+    pivots = near.where("alike > 0.75").select("a", "b").unionByName(own)
+    pivots = pivots.join(hot.select(F.col("token").alias("a"), F.lit(True).alias("ha")), "a", "left").join(hot.select(F.col("token").alias("b"), F.lit(True).alias("hb")), "b", "left")
+    pivots = cut(pivots.select("a", "b", F.coalesce("ha", "hb", F.lit(False)).alias("hot")))
+    left = posts.select(F.col("key").alias("ka"), F.col("token").alias("ta")).distinct()
+    right = posts.select(F.col("key").alias("kb"), F.col("token").alias("tb")).distinct()
+    cold = left.join(pivots.where("not hot"), F.col("ta") == F.col("a")).join(right, F.col("tb") == F.col("b")).where("a <> b or ka < kb").select("ka", "kb")
+
+    # Tokens both ways, rests one way: of any two names one leads to the other.
+    ways = pivots.where("hot").select("a", "b")
+    ways = ways.unionByName(ways.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rests = posts.select("rest").distinct()
+    letters = rests.where("length(rest) > 1 and instr(rest, ' ') = 0").select("rest", F.substring("rest", 1, 1).alias("to"))
+    alike = rests.select("rest", F.col("rest").alias("to")).unionByName(letters).unionByName(near.select(F.col("a").alias("rest"), F.col("b").alias("to")))
+    spots = posts.select("kind", F.col("token").alias("a"), "rest").distinct().join(ways, "a").join(alike, "rest")
+    there = posts.select("kind", F.col("token").alias("b"), F.col("rest").alias("to"), F.col("key").alias("kb"))
+    # Only spots that meet another are joined with the names that stand there.
+    spots = spots.join(there.select("kind", "b", "to").distinct(), ["kind", "b", "to"])
+    here = posts.select("kind", F.col("token").alias("a"), "rest", F.col("key").alias("ka"))
+    warm = spots.join(there, ["kind", "b", "to"]).join(here, ["kind", "a", "rest"]).select("ka", "kb")
+    return cold.unionByName(warm).where("ka <> kb").select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+
+
 def link_names(people: DataFrame, key: str = "stem", name: str = "name") -> DataFrame:
     """(``key``, name_class, entity): the spelling class of each row's name and the entity it belongs to.
 
@@ -251,26 +309,12 @@ def link_names(people: DataFrame, key: str = "stem", name: str = "name") -> Data
     known = cut(_classes(people, name))
     classes = cut(known.groupBy("key").agg(F.min("tokens").alias("tokens")))
 
-    # Tokens, and neighbours run together in case one was written apart.
-    pairs = F.expr("transform(sequence(1, greatest(size(tokens) - 1, 1)), i -> if(size(tokens) > 1, concat(tokens[i - 1], tokens[i]), ''))")
     single = classes.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
     df = single.groupBy("token").agg(F.count("*").alias("df"))
     total = F.lit(max(1, classes.count()))
     weights = single.join(df, "token").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("token", F.log(1 + total / F.col("df")).alias("w")))).alias("w"))
     full = cut(classes.join(weights, "key").withColumn("weights", F.expr("transform(tokens, t -> w[t])")).drop("w"))
-    rare_single = single.where(F.length("token") >= 4).join(df.where(F.col("df") <= RARE), "token").select("key", "token")
-    joined = classes.select("key", F.explode(pairs).alias("token")).where(F.length("token") >= 6)
-    common = joined.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > RARE).select("token")
-    rare = rare_single.unionByName(joined.join(common, "token", "left_anti")).distinct()
-    bare = classes.join(rare_single.select("key").distinct(), "key", "left_anti").select("key", F.concat_ws("", F.array_sort("tokens")).alias("token"))
-    posts = cut(rare.unionByName(bare).distinct())
-
-    near = similar_tokens(posts.select("token").distinct())
-    left = posts.select(F.col("key").alias("ka"), F.col("token").alias("ta"))
-    right = posts.select(F.col("key").alias("kb"), F.col("token").alias("tb"))
-    same = left.join(right, (F.col("ta") == F.col("tb")) & (F.col("ka") < F.col("kb"))).select("ka", "kb")
-    close = left.join(near, F.col("ta") == F.col("a")).join(right, F.col("b") == F.col("tb")).select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).where("ka <> kb")
-    candidates = same.unionByName(close).distinct()
+    candidates = candidate_pairs(classes)
     fa = full.select(F.col("key").alias("ka"), F.col("tokens").alias("xa"), F.col("weights").alias("wa"))
     fb = full.select(F.col("key").alias("kb"), F.col("tokens").alias("xb"), F.col("weights").alias("wb"))
 

@@ -71,6 +71,40 @@ def test_a_long_list_is_refused(spark, monkeypatch):
         canon.match_values(spark.createDataFrame([("a",)], "entered string"), spark.createDataFrame(TERMS, "term string, canon string"))
 
 
+def test_common_tokens_still_make_candidates(spark, monkeypatch):
+    # A limit of 1 stands for a table in which given and family names are in more classes than the limit.
+    monkeypatch.setattr(names, "RARE", 1)
+    group = ["Robert Nguyen", "Bob Nguyen", "Robret Nguyen", "Robert Nguyyen", "Nguyen, Rob"]
+    other = ["Susan Nguyen", "Sue Nguyen", "Robert Hanszolt", "Susan Hanszolt", "S Hanszolt", "Robert Nguyen Jr"]
+    df = spark.createDataFrame([(n, n) for n in group + other], "stem string, name string")
+    got = {(r["a"], r["b"]) for r in names.linked_pairs(names.link_names(df)).collect()}
+    want = [*itertools.combinations(group, 2), ("Susan Nguyen", "Sue Nguyen"), ("Susan Hanszolt", "S Hanszolt")]
+    assert got == {tuple(sorted(p)) for p in want}
+
+
+@pytest.mark.parametrize("rare", [0, 3, 200])
+def test_candidates_hold_all_pairs_that_compare_takes(spark, monkeypatch, rare):
+    import random
+
+    monkeypatch.setattr(names, "RARE", rare)
+    rng = random.Random(5)
+    given, family = ["robert", "bobby", "rob", "r", "susan", "s", "eun", "xander", "alexander", "jr"], ["nguyen", "n", "thisefihhund", "kidohoharn", "li", "hanszolt"]
+
+    def typo(w):
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            i = rng.randrange(len(w))
+            w = rng.choice([w[:i] + w[i + 1 :], w[:i] + rng.choice("aeh") + w[i:], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]]) or w
+        return w
+
+    made = [[typo(rng.choice(given)) for _ in range(rng.choice([0, 1, 1, 2]))] + [typo(rng.choice(family))] for _ in range(150)]
+    made += [[typo(rng.choice(family)), *rng.choice([["staffing", "ltd"], ["talent"], ["stffng", "limited"], ["north", "search"]])] for _ in range(40)]
+    made += [[m[0] + m[1], *m[2:]] for m in made[:20] if len(m) > 1]
+    classes = {" ".join(sorted(t)): t for t in made}
+    got = {(r["ka"], r["kb"]) for r in names.candidate_pairs(spark.createDataFrame(list(classes.items()), "key string, tokens array<string>")).collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(classes), 2) if names.compare(classes[a], classes[b], [1.0] * len(classes[a]), [1.0] * len(classes[b]))[0]}
+    assert len(want) > 100 and got >= want
+
+
 def test_similar_tokens_find_all_that_are_alike(spark):
     import random
 
