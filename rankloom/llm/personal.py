@@ -108,8 +108,10 @@ _LABELS = frozenset("passport tax national identity insurance soc social id payr
 _STREET = re.compile(
     r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Boulevard|Blvd|Way|Place|Square|Sq|Terrace|Crescent|Row|Walk|Hill|Parade|Gardens|Grove|Mews|Alley|Quay)\b"
     r"|(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm|ring|steig|markt)\s\d|\b(?:Am|An de[rn]|Im|In der|Auf de[rm]|Zum|Zur|Unter den|Alte|Neue|Große|Kleine)\s\w"
-    r"|(?i:\b(?:rue|avenue|chemin|place|boulevard|allée|impasse|quai|route|cours|square|passage)\s)|(?:\bCalle|C/|Plaza|Avda|Avenida|Paseo|Camino|Carretera|Ronda|Travesía|Via|Viale|Piazza|Corso)\b"
+    r"|(?i:(?:\b|\d|bis|ter)(?:rue|avenue|chemin|place|boulevard|allée|impasse|quai|route|cours|square|passage)\s)|C/\s|(?:\bCalle|Plaza|Avda|Avenida|Paseo|Camino|Carretera|Ronda|Travesía|Via|Viale|Piazza|Corso)\b"
 )
+#: Tokens that begin a street of two words or more.
+_STREET_FIRST = re.compile(r"\b(?:An|In|Auf|Unter)$")
 
 
 def _lower(word: str) -> str:
@@ -184,7 +186,7 @@ class Finder:
         b |= _LABEL if token.lower().strip(".,;:()") in _LABELS else 0
         b |= _NUMBER if _DIGIT.search(token) else 0
         b |= _SIGN if "@" in token or token[-1] in "([{" or _AT.search(token) or re.search(r"[\[({]at$", token, re.I) else 0
-        return b | (_WAY if _STREET.search(f"{token} 1") else 0)
+        return b | (_WAY if _STREET.search(f"{token} 1") or _STREET_FIRST.search(token) else 0)
 
     def _is_given(self, word: str) -> bool:
         known = self.known.get(word)

@@ -81,3 +81,19 @@ def test_collisions_are_found_and_undone(spark, monkeypatch):
 def test_common_given_names(spark):
     df = spark.createDataFrame([(f"Karlotta Surname{i}",) for i in range(8)] + [(None,)], "name string")
     assert "karlotta" in personal.common_given_names(df)
+
+
+ADDRESSES = (
+    [f"12 Oak {w}" for w in "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Close Boulevard Blvd Way Place Square Sq Terrace Crescent Row Walk Hill Parade Gardens Grove Mews Alley Quay".split()]
+    + [f"12{gap}{w} Haute" for w in "rue avenue chemin place boulevard allée impasse quai route cours square passage".split() for gap in (", ", " ", "", " bis ", "ter")]
+    + [f"Linden{w} 77" for w in "straße strasse str. weg allee gasse platz ufer damm ring steig markt".split()]
+    + [f"{w} Mühle 5" for w in ("Am", "An der", "An den", "Im", "In der", "Auf der", "Auf dem", "Zum", "Zur", "Unter den", "Alte", "Neue", "Große", "Kleine")]
+    + [f"{w} Mayor 12" for w in "Calle C/ Plaza Avda Avda. Avenida Paseo Camino Carretera Ronda Travesía Via Viale Piazza Corso".split()]
+)
+
+
+@pytest.mark.parametrize("form", ["{}", "lives ({})", "home:\n{}, 10117 Berlin"])
+def test_quick_looks_let_every_form_of_address_through(form):
+    texts = [form.format(a) for a in ADDRESSES]
+    assert [t for t in texts if not personal._ADDRESS.search(t)] == []
+    assert [t for t in texts if "address" not in {k for _, _, k in personal.Finder(set()).find(t)}] == []
