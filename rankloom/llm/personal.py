@@ -103,7 +103,8 @@ _MARKED = re.compile(r"\b(?:[^\W\d_a-zß-öø-ÿ]\.|(?:Dr|Prof|Mr|Mrs|Ms|Miss|Mx
 _AT = re.compile(r"[\[({]\s?at\s?[\])}]", re.I)
 _DIGIT = re.compile(r"\d")
 _GIVEN, _MARK, _NUMBER, _SIGN, _WAY, _LABEL = 1, 2, 4, 8, 16, 32
-_DIGITS = re.compile(r"\d(?:[\s()./-]{0,3}\d){8}|[A-Z]{1,3}[ -]?\d(?:[\s-]?\d){5}")
+# The shortest matches of _PHONE and _ID: nine digits, eight after a plus, six after letters, or four in groups after letters.
+_DIGITS = re.compile(r"\d(?:[\s()./-]{0,3}\d){8}|\+\d(?:[ ()./-]{0,3}\d){7}|[A-Z][\s-]?\d(?:[\s-]?\d){5}|[A-Z]-\d{2,4}-\d{2}")
 _LABELS = frozenset("passport tax national identity insurance soc social id payroll permit personal".split())
 _STREET = re.compile(
     r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Boulevard|Blvd|Way|Place|Square|Sq|Terrace|Crescent|Row|Walk|Hill|Parade|Gardens|Grove|Mews|Alley|Quay)\b"
@@ -183,7 +184,7 @@ class Finder:
     def _token_bits(self, token: str) -> int:
         b = _GIVEN if any(self._is_given(w) for w in _CAPITALS.findall(token)) else 0
         b |= _MARK if _MARKED.search(token + " ") else 0
-        b |= _LABEL if token.lower().strip(".,;:()") in _LABELS else 0
+        b |= _LABEL if not _LABELS.isdisjoint(re.findall(r"[^\W\d_]+", token.lower())) else 0
         b |= _NUMBER if _DIGIT.search(token) else 0
         b |= _SIGN if "@" in token or token[-1] in "([{" or _AT.search(token) or re.search(r"[\[({]at$", token, re.I) else 0
         return b | (_WAY if _STREET.search(f"{token} 1") or _STREET_FIRST.search(token) else 0)

@@ -97,3 +97,12 @@ def test_quick_looks_let_every_form_of_address_through(form):
     texts = [form.format(a) for a in ADDRESSES]
     assert [t for t in texts if not personal._ADDRESS.search(t)] == []
     assert [t for t in texts if "address" not in {k for _, _, k in personal.Finder(set()).find(t)}] == []
+
+
+@pytest.mark.parametrize(
+    "text,kind",
+    [("ref AB-12-345", "id"), ("A-12-34", "id"), ("ABC-1234-12-123", "id"), ("QQ\n523741C", "id"), ("ZZ123456", "id"), ("X4 200 107", "id"), ("123-45-6789", "id"), ("12/345/67890", "id"), ("0399 8742 8529", "id"), ("passport:123456", "id")]
+    + [("+1 234 5678", "phone"), ("+12345678", "phone"), ("+1 (0) 2345678", "phone"), ("0012345678", "phone"), ("(123) 456 789", "phone"), ("012 345 678", "phone"), ("01 23 45 67 89", "phone"), ("123.456.7890", "phone"), ("12345678901", "phone")],
+)
+def test_quick_looks_let_the_shortest_numbers_through(text, kind):
+    assert [k for _, _, k in personal.Finder(set()).find(text)] == [kind]
