@@ -22,7 +22,7 @@ from rankloom.functions.edits import edits
 
 #: A list beyond this many rows is refused, as it is held by every executor.
 MOST_TERMS = 200_000
-THRESHOLD, MARGIN, CANDIDATES = 0.3, 0.02, 12
+THRESHOLD, MARGIN = 0.3, 0.02
 
 # Words that say how well or where something is mastered, not what.
 _LEVELS = frozenset(
@@ -170,7 +170,7 @@ class Index:
             return exact, 1.0
         by_entry: dict[str, tuple[float, float]] = {}
         ranked = self.cosines(words)
-        for s, i in ranked[:CANDIDATES]:
+        for s, i in ranked:
             if s < THRESHOLD / 2:
                 break
             term, entry = self.terms[i]

@@ -120,3 +120,10 @@ def test_similar_tokens_find_all_that_are_alike(spark):
     got = {(r["a"], r["b"]) for r in names.similar_tokens(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
     assert got == {p for p in itertools.combinations(sorted(words), 2) if names._alike(*p)}
     assert ("thisefihhund", "thisephihund") in got
+
+
+def test_an_entry_behind_many_rivals_is_found():
+    rivals = [f"documentation {w}" for w in "kit box bin map jam pen log bus gym hut oak yam zip web".split()]
+    index = canon.Index([(t, t) for t in ("documentation telecommunications", *rivals)])
+    place = [" ".join(index.terms[i][0]) for _, i in index.cosines(["documentation", "tcms"])].index("documentation telecommunications")
+    assert place >= 12 and index.match("documentation tcms")[0] == "documentation telecommunications"
