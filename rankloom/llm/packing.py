@@ -1,8 +1,9 @@
 """Problem 8: items into as few containers of a fixed capacity as possible.
 
 Non-negative least squares on the histogram of lengths: all combinations of up to three lengths that fill a container
-to within a small window are enumerated, repeat counts that reproduce the histogram are solved for, rounded down, and
-what is left of the histogram is packed greedily (longest first into the fullest container it fits). All of this works on
+exactly are enumerated, for lengths in none of them also those that fill it best; repeat counts that reproduce the histogram are
+solved for, rounded down, and what is left of the histogram is packed greedily (longest first into the fullest container it fits).
+Where some lengths had no exact fill, the plan of the exact fills alone is made as well and the smaller of the two is taken. All of this works on
 the histogram, whose size is bounded by the capacity, not by the corpus; the items are then matched to the planned
 places by their number within their length, in one distributed join.
 """
@@ -43,6 +44,29 @@ def shallow_combinations(lengths: np.ndarray, capacity: int, window: int) -> np.
     return np.concatenate(out) if out else np.empty((0, 3), int)
 
 
+def best_fills(lengths: np.ndarray, capacity: int, missing: np.ndarray) -> np.ndarray:
+    """Rows as of ``shallow_combinations``: of each length in ``missing`` those that leave the least space."""
+    have = np.zeros(capacity + 1, dtype=bool)
+    have[lengths] = True
+    out = [np.empty((0, 3), int)]
+    for goal in range(capacity, 0, -1):
+        if not len(missing):
+            break
+        made = [np.array([[n, 0, 0] for n in missing if n == goal], int).reshape(-1, 3)]
+        a = missing[missing < goal]
+        a = a[have[goal - a]]
+        made.append(np.stack([a, goal - a, np.zeros(len(a), int)], 1))
+        if goal >= missing.min() + 2 * lengths.min():
+            x, y = np.meshgrid(missing, lengths, indexing="ij")
+            z = goal - x - y
+            ok = (z > 0) & (z <= y) & have[np.maximum(z, 0)]
+            made.append(np.stack([x[ok], y[ok], z[ok]], 1))
+        rows = np.unique(-np.sort(-np.concatenate(made), axis=1), axis=0)
+        out.append(rows)
+        missing = np.setdiff1d(missing, rows)
+    return np.concatenate(out)
+
+
 def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the weighted distance of the combinations' lengths from the histogram.
 
@@ -125,9 +149,20 @@ def _greedy(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, window: int = 0) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a container, number of such containers) for a histogram ``counts[length]``; every item has a place."""
-    left = np.asarray(counts, dtype=np.int64).copy()
-    left[0] = 0
-    combos = shallow_combinations(np.flatnonzero(left), capacity, window)
+    counts = np.asarray(counts, dtype=np.int64).copy()
+    counts[0] = 0
+    lengths = np.flatnonzero(counts)
+    combos = shallow_combinations(lengths, capacity, window)
+    packed = _packed(combos, counts, capacity)
+    missing = np.setdiff1d(lengths, combos)
+    if len(missing):
+        wider = _packed(np.concatenate([combos, best_fills(lengths, capacity, missing)]), counts, capacity)
+        packed = min(packed, wider, key=lambda p: sum(n for _, n in p))
+    return packed
+
+
+def _packed(combos: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    left = counts.copy()
     x = nonnegative_least_squares(combos, left.astype(float))
     repeats = _rounded(combos, x, left)
     packed = [(tuple(int(v) for v in combos[i] if v), int(repeats[i])) for i in np.flatnonzero(repeats)]

@@ -81,3 +81,19 @@ def test_pack(spark):
 def test_combinations_fill_the_window():
     combos = packing.shallow_combinations(np.array([2, 3, 5]), 10, 1)
     assert set(combos.sum(1)) <= {9, 10} and {tuple(c) for c in combos} >= {(5, 5, 0), (5, 3, 2)}
+
+
+@pytest.mark.parametrize("lengths,most", [({78: 137, 117: 32}, 57), ({40: 656, 100: 179, 117: 109, 127: 150, 144: 153, 147: 201, 184: 269, 188: 192}, 768)])
+def test_lengths_without_exact_fill_are_planned_too(lengths, most):
+    counts = np.zeros(301, int)
+    counts[list(lengths)] = list(lengths.values())
+    made = packing.plan(counts, 300)
+    assert sum(n for _, n in made) <= most
+    assert {v: sum(n * kind.count(v) for kind, n in made) for v in lengths} == lengths
+
+
+def test_best_fills_leave_the_least_space():
+    lengths = np.array([2, 5, 9])
+    # 2: 9 + 2 + 2 of 14; 5: 9 + 5 is exact.
+    assert {tuple(map(int, r)) for r in packing.best_fills(lengths, 14, np.array([2]))} == {(9, 2, 2)}
+    assert {tuple(map(int, r)) for r in packing.best_fills(np.array([6]), 8, np.array([6]))} == {(6, 0, 0)}
