@@ -1,9 +1,10 @@
 """Problem 8: items into as few containers of a fixed capacity as possible.
 
 Non-negative least squares on the histogram of lengths: all combinations of up to three lengths that fill a container
-exactly are enumerated, for lengths in none of them also those that fill it best; repeat counts that reproduce the histogram are
-solved for, rounded down, and what is left of the histogram is packed greedily (longest first into the fullest container it fits).
-Where some lengths had no exact fill, the plan of the exact fills alone is made as well and the smaller of the two is taken. All of this works on
+to within a small window are enumerated, for lengths in none of them also those that fill it best; repeat counts that reproduce the histogram are
+solved for, once over all combinations and again over the few best ones of each length, rounded, and what is left of the histogram is
+packed greedily (longest first into the fullest container it fits). A plan of the exact fills alone is made as well and the smaller of
+the two is taken. Items far shorter than a third of the capacity fill none of these and are packed greedily. All of this works on
 the histogram, whose size is bounded by the capacity, not by the corpus; the items are then matched to the planned
 places by their number within their length, in one distributed join.
 """
@@ -12,12 +13,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.session import cut
+from rankloom.operators.ranking import running_total
+from rankloom.session import stored
 
 CAPACITY = 2048
+#: Combinations that leave up to so many places free are enumerated beside the exact fills.
+WINDOW = 1
+#: Steps of the first solution, over all combinations, and of the second, over the FEW best ones of each length.
+STEPS, AGAIN, FEW = 60, 400, 3
 
 
 def shallow_combinations(lengths: np.ndarray, capacity: int, window: int) -> np.ndarray:
@@ -67,7 +73,7 @@ def best_fills(lengths: np.ndarray, capacity: int, missing: np.ndarray) -> np.nd
     return np.concatenate(out)
 
 
-def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
+def nonnegative_least_squares(combos: np.ndarray, counts: np.ndarray, steps: int = AGAIN) -> np.ndarray:
     """Repeat counts x >= 0 that minimise the weighted distance of the combinations' lengths from the histogram.
 
     Accelerated projected gradient on the sparse system (each column has at most three entries); lengths weigh by their
@@ -147,18 +153,31 @@ def _greedy(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]
     return [(kind, times) for by in open_ for kind, times in by.items()]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY, window: int = 0) -> list[tuple[tuple[int, ...], int]]:
+def plan(counts: np.ndarray, capacity: int = CAPACITY, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a container, number of such containers) for a histogram ``counts[length]``; every item has a place."""
     counts = np.asarray(counts, dtype=np.int64).copy()
     counts[0] = 0
     lengths = np.flatnonzero(counts)
     combos = shallow_combinations(lengths, capacity, window)
-    packed = _packed(combos, counts, capacity)
     missing = np.setdiff1d(lengths, combos)
     if len(missing):
-        wider = _packed(np.concatenate([combos, best_fills(lengths, capacity, missing)]), counts, capacity)
-        packed = min(packed, wider, key=lambda p: sum(n for _, n in p))
-    return packed
+        combos = np.concatenate([combos, best_fills(lengths, capacity, missing)])
+    x = nonnegative_least_squares(combos, counts.astype(float), STEPS)
+    exact = combos.sum(1) == capacity
+    plans = [_packed(_fewer(combos[own], x[own], capacity), counts, capacity) for own in (exact, np.ones(len(combos), bool))]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _fewer(combos: np.ndarray, x: np.ndarray, capacity: int) -> np.ndarray:
+    """The combinations with the largest counts, FEW of each length: many small counts would all be rounded away."""
+    used = np.zeros(capacity + 1, dtype=int)
+    kept = []
+    for i in np.argsort(-x, kind="stable")[: np.count_nonzero(x > 0)]:
+        parts = combos[i][combos[i] > 0]
+        if (used[parts] < FEW).any():
+            kept.append(i)
+            used[parts] += 1
+    return combos[np.array(kept, dtype=int)]
 
 
 def _packed(combos: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -169,31 +188,27 @@ def _packed(combos: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple
     return packed + _greedy(left, capacity)
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
     """(``key``, piece_no int, size int, container bigint) for every item.
 
     An item larger than the capacity is split: full containers for its first pieces, and a last piece that is packed like
     other items; no other item is split. Items of size 0 and null sizes (taken as 0) go into container 0, which exists in any case.
-    Repeated keys count as one item, with their largest size. An empty table gives an empty one. Sizes of hot lengths are numbered
-    by (length, salt), so no length is gathered into one task.
+    Repeated keys count as one item, with their largest size. An empty table gives an empty one. ``sizes`` is read once. Items are
+    numbered by (length, partition), so no length is gathered into one task; only the histogram, one row a length, reaches the driver.
     """
     spark = sizes.sparkSession
-    salts = salts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     items = sizes.groupBy(key).agg(F.coalesce(F.max(size), F.lit(0)).cast("bigint").alias("__n"))
     full = F.greatest(F.floor((F.col("__n") - 1) / capacity), F.lit(0)).cast("int")
-    items = items.withColumn("__full", full)
-    rest = items.select(key, F.col("__full").alias("piece_no"), (F.col("__n") - F.col("__full") * capacity).cast("int").alias("size"))
-    rest = cut(rest.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts))))
-    by_salt = rest.groupBy("size", "__salt").agg(F.count("*").alias("n"))
-    # At most (capacity + 1) * salts rows, whatever the corpus.
-    table = by_salt.toPandas().sort_values(["size", "__salt"], ignore_index=True)
-    table["before"] = table.groupby("size")["n"].cumsum() - table["n"]
+    # Written once with the partition each item is in: counts and numbers see the same ones.
+    items = stored(items.withColumn("__full", full).withColumn("__part", F.spark_partition_id()))
+    rest = items.select(key, F.col("__full").alias("piece_no"), (F.col("__n") - F.col("__full") * capacity).cast("int").alias("size"), "__part")
+    by_part = rest.groupBy("size", "__part").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for s, n in table.groupby("size")["n"].sum().items():
-        counts[int(s)] = n
+    for s, n in by_part.groupBy("size").agg(F.sum("n")).collect():
+        counts[s] = n
     places, at = [], {}
     base = 0
-    for kind, times in plan(counts, capacity):
+    for kind, times in plan(counts, capacity, window):
         for length in kind:
             start = at.get(length, 0)
             places.append((length, start, start + times, base - start))
@@ -202,14 +217,11 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     if counts[0]:
         places.append((0, 0, int(counts[0]), None))
     base = max(base, 1 if counts[0] else 0)
-    # As many rows as the plan has places: bounded by the combinations of lengths, not by the items.
-    starts = F.broadcast(spark.createDataFrame(table.astype("int64"), "size bigint, __salt bigint, n bigint, before bigint").select(F.col("size").cast("int").alias("size"), "__salt", "before"))
-    from pyspark.sql import Window
-
-    numbered = (
-        rest.join(starts, ["size", "__salt"])
-        .withColumn("__i", F.row_number().over(Window.partitionBy("size", "__salt").orderBy(key)) - 1 + F.col("before"))
-    )
+    earlier = Window.partitionBy("size").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_part.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    own = Window.partitionBy("size", "__part").orderBy(key)
+    numbered = rest.join(starts, ["size", "__part"]).withColumn("__i", F.row_number().over(own) - 1 + F.col("before"))
+    # As many rows as there are lengths, with as many entries as the plan has places: bounded by the capacity, not by the items.
     per = pd.DataFrame(places, columns=["size", "from", "to", "shift"]).sort_values(["size", "from"])
     rows = [(int(s), [int(v) for v in g["from"]], [None if pd.isna(v) else int(v) for v in g["shift"]]) for s, g in per.groupby("size")]
     lookup = F.broadcast(spark.createDataFrame(rows, "size int, __starts array<bigint>, __shift array<bigint>"))
@@ -218,8 +230,6 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     packed = placed.select(key, "piece_no", "size", container.alias("container"))
     heads = items.where("__full > 0")
     # Full pieces get containers of their own after the packed ones, numbered by the running count of their items.
-    from rankloom.operators.ranking import running_total
-
     first = running_total(heads.select(key, "__full"), [], [F.col(key).asc()], F.col("__full").cast("bigint"), "__first")
     whole = first.select(key, F.posexplode(F.sequence(F.lit(1), F.col("__full"))).alias("piece_no", "__one"), "__first")
     whole = whole.select(key, "piece_no", F.lit(capacity).alias("size"), (F.col("__first") + F.col("piece_no") + base).alias("container"))
