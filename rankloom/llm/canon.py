@@ -1,8 +1,8 @@
 """Problem 5: values entered freely -> entries of a canonical list, or none.
 
 The distinct values are normalised, candidates come from an inverted index of character n-grams over the list and its known
-other spellings, each candidate gets a cosine with weights that favour rare n-grams, and the best is accepted if it
-passes a word-by-word check, the threshold and the margin to the next. The list is a fixed table; its size is checked before
+other spellings, each candidate gets a cosine with weights that favour rare n-grams, and the best is accepted if its cosine reaches the threshold and
+exceeds that of the next entry by the margin. A word-by-word check only takes entries out. The list is a fixed table; its size is checked before
 it's sent to the executors.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -19,10 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.edits import edits
+from rankloom.session import per_worker, spread
 
 #: A list beyond this many rows is refused, as it is held by every executor.
 MOST_TERMS = 200_000
-THRESHOLD, MARGIN = 0.3, 0.02
+#: Least cosine of an entry that is accepted, and how much more than that of the next entry it has to be.
+THRESHOLD, MARGIN = 0.15, 0.02
+#: The word check: entries that differ more than this, or by so much more than the closest one, aren't meant however alike their n-grams.
+WORST, SLACK = 0.34, 0.1
 
 # Words that say how well or where something is mastered, not what.
 _LEVELS = frozenset(
@@ -168,19 +173,24 @@ class Index:
             return "", 0.0
         if (exact := self.alike.get(tuple(words))) is not None:
             return exact, 1.0
-        by_entry: dict[str, tuple[float, float]] = {}
+        near = []
         ranked = self.cosines(words)
         for s, i in ranked:
-            if s < THRESHOLD / 2:
+            if s < THRESHOLD:
                 break
             term, entry = self.terms[i]
             c = self.cost(words, term)
-            if c is not None and c <= 0.34 and (s >= THRESHOLD or c <= 0.25):
-                by_entry[entry] = max(by_entry.get(entry, (-1.0, 0.0)), (s - 2 * c, s))
-        best = sorted(((v, e) for e, v in by_entry.items()), key=lambda x: (-x[0][0], x[1]))
-        if not best or (len(best) > 1 and best[0][0][0] - best[1][0][0] < MARGIN):
+            if c is not None and c <= WORST:
+                near.append((s, c, entry))
+        least = min((c for _, c, _ in near), default=0.0)
+        by_entry: dict[str, float] = {}
+        for s, c, entry in near:
+            if c <= least + SLACK:
+                by_entry[entry] = max(by_entry.get(entry, 0.0), s)
+        best = sorted(((s, e) for e, s in by_entry.items()), key=lambda x: (-x[0], x[1]))
+        if not best or (len(best) > 1 and best[0][0] - best[1][0] < MARGIN):
             return "", ranked[0][0] if ranked else 0.0
-        return best[0][1], best[0][0][1]
+        return best[0][1], best[0][0]
 
 
 def match_values(values: DataFrame, terms: DataFrame, value: str = "entered") -> DataFrame:
@@ -193,10 +203,12 @@ def match_values(values: DataFrame, terms: DataFrame, value: str = "entered") ->
     if len(rows) > MOST_TERMS:
         raise ValueError(f"the canonical list has more than {MOST_TERMS} terms")
     sent = values.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-    distinct = values.select(value).where(F.col(value).rlike(r"(?U)[^\s\p{Z}]")).distinct()
+    # Repeated values are put together first; short as they are, the planner would give all of them to one task.
+    distinct = spread(values.select(value).where(F.col(value).rlike(r"(?U)[^\s\p{Z}]")).distinct())
+    mark = f"canon {uuid.uuid4()}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(sent.value)
+        index = per_worker(mark, lambda: Index(sent.value))
         for batch in batches:
             found = [index.match(v) for v in batch[value]]
             yield pd.DataFrame({value: batch[value], "match": [m for m, _ in found], "score": [s for _, s in found]})
