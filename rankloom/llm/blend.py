@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit
 from rankloom.operators.ranking import numbered, running_total
+from rankloom.session import stored
 
 
 def deviates(scores: DataFrame, group: str, metric: str = "metric", value: str = "value") -> DataFrame:
@@ -39,7 +40,8 @@ def blend(scores: DataFrame, group: str, item: str, weights: dict[str, float]) -
     """
     valid = F.when(~F.isnan("value"), F.col("value"))
     once = scores.where(F.col("metric").isin(*weights)).groupBy(group, item, "metric").agg(F.max(valid).alias("value"))
-    once = once.withColumn("value", F.col("value") + F.lit(0.0))
+    # Written once, as both the deviates and the means read it.
+    once = stored(once.withColumn("value", F.col("value") + F.lit(0.0)))
     z = deviates(once, group).select(F.col(group).alias("__g"), F.col("metric").alias("__m"), F.col("value").alias("__v"), "z")
     on = [F.col(group).eqNullSafe(F.col("__g")), F.col("metric") == F.col("__m"), F.col("value") == F.col("__v")]
     weight = F.create_map(*[x for m, w in weights.items() for x in (F.lit(m), F.lit(float(w)))])
