@@ -11,6 +11,7 @@ from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -91,3 +92,8 @@ def widen(df: DataFrame, factor: int = 1) -> DataFrame:
     """
     want = df.sparkSession.sparkContext.defaultParallelism * factor
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= want else df.repartition(want)
+
+
+def if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most ``most`` rows, as it is otherwise; counted here, so it should be written or cheap."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
