@@ -1,132 +1,263 @@
 """Problem 9: texts cut off by a field limit or in transfer.
 
-A self-join by prefix: the last words of each text are looked up among all runs of words of the corpus by hashes of fixed-length
-prefixes. A text is cut off if its last words are strict prefixes of longer copies elsewhere - the last word goes on there, or
-further words of the sentence follow - and (almost) no copy ends there. The prefixes used are, in this order, the beginning of the
-sentence with the last words, the last three words, the last two, the last one; the first that occurs elsewhere decides.
-All counts are over all documents; only hashes, words and counts are shuffled, after a partial aggregation.
+A self-join by prefix, on two scales. First whole values: hashes of fixed-length prefixes find the texts that are strict prefixes of
+longer ones, and if such a copy goes on inside the line, the text was cut. Whole copies are rare, so the ends come next: the last words
+of each text are looked up among all runs of words of the corpus. A text is cut off if its last words are strict prefixes of
+longer copies elsewhere - the last word goes on there, or further words of the sentence follow - and (almost) no copy ends there. The
+prefixes used are, in this order, the beginning of the sentence with the last words, the last three words, the last two, the last one;
+the first that occurs elsewhere decides. All counts are over all documents; texts are taken apart once, and only hashes, words
+and counts are shuffled, after a partial aggregation. Prefixes of words are joined by equality, so a word that follows
+everywhere is spread over its prefixes.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.session import cut, widen
+from rankloom.session import if_small, stored, widen
 
 #: Copies that end at the same words, as a share of all copies, up to which they count as cut off themselves.
 NOISE = 0.02
 #: Longer copies that are asked for if the text has a full stop after its last word.
 LEAST_AFTER_STOP = 5
+#: Lengths of the hashed prefixes of whole texts: from 8 characters on, each half as long again; a shorter text is no prefix worth the name.
+LADDER = [8]
+while LADDER[-1] < 1 << 30:
+    LADDER.append(LADDER[-1] * 3 // 2)
+
+#: Words that are counted together before they are handed on.
+FLUSH = 1_500_000
+
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}#]+(?:['’.\-‑][\p{L}\p{N}#]+)*")
+_PLAIN_WORD = re.compile(r"[^\W_]+(?:['’.\-‑][^\W_]+)*")
+_DIGITS = re.compile("[0-9]+")
+_SENTENCE_GAP = regex.compile(r"(?<=[.!?…])\s+(?=[\p{Lu}\"“«¿¡(])")
+_BULLET = regex.compile(r"\s*(?:[-*•–·]\s+)?")
+_BLANKS = regex.compile(r"[\s\p{Z}\u200b\ufeff]+$")
+_STOP = regex.compile("(?<![.…])[.!?。][\"”’»)]*$")
+# A name: few words, all with a capital.
+_CAPITALS = regex.compile(r"(?:\p{Lu}[\p{L}\p{M}'’.-]*\s*){1,4}")
+_SCHEMA = "level string, a string, b string, x string, e bigint, c bigint, tail struct<key: {key}, stop: boolean, prose: boolean, signature: boolean, long: boolean, last: string, s: array<string>, n: int, full: binary, steps: array<binary>>"
 
-_WORD = r"[\p{L}\p{M}\p{N}]+(?:['’.\-‑][\p{L}\p{N}]+)*"
-_SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[\p{Lu}\"“«¿¡(])"
-_BULLET = r"^\s*(?:[-*•–·]\s+)?"
-_BLANKS = r"[\s\p{Z}​﻿]+$"
 
+def _body(text: str | None) -> str:
+    """A text without blanks at its end."""
+    return _BLANKS.sub("", text) if text else ""
 
-def _segments(text: Column) -> Column:
-    """array<struct<s, w>>: sentences and lines with their lower-case words, numbers as '#'; those without words are left out."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.split(F.regexp_replace(x, _BULLET, ""), _SENTENCE_GAP))
-    word = lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit(f"({_WORD})"), 1), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
-    return F.filter(F.transform(F.flatten(lines), lambda s: F.struct(s.alias("s"), word(s).alias("w"))), lambda x: F.size(x["w"]) > 0)
 
+def _words(segment: str) -> list[str]:
+    """Lower-case words, numbers as '#'."""
+    low = segment.lower()
+    if low.isascii():
+        found = _PLAIN_WORD.findall(low)
+        return [_DIGITS.sub("#", w) for w in found] if _DIGITS.search(low) else found
+    return _WORD.findall(_DIGITS.sub("#", low.replace("#", " ")))
 
-def _word_at(words: Column, i: Column) -> Column:
-    """The i-th word from 0, '^' before the first."""
-    return F.when(i < 0, F.lit("^")).otherwise(F.get(words, i))
 
+def _segments(body: str) -> list[tuple[str, list[str]]]:
+    """Sentences and lines with their words; those without words are left out."""
+    out = []
+    for line in body.split("\n"):
+        line = line[_BULLET.match(line).end() :]
+        for s in _SENTENCE_GAP.split(line) if line else ():
+            if w := _words(s):
+                out.append((s, w))
+    return out
 
-def _keys(words: Column, j: Column) -> dict[str, Column]:
-    """Hashes of the words before the j-th, for each length of prefix."""
-    p1, p2 = _word_at(words, j - 1), _word_at(words, j - 2)
-    start = F.when(j > 1, F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))).otherwise(F.lit("^"))
-    return {"s": F.xxhash64(F.lit("s"), start, p1), "3": F.xxhash64(F.lit("3"), p2, p1), "2": F.xxhash64(F.lit("2"), p1), "1": F.xxhash64(F.lit("1"))}
 
+def _hash(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
 
-def _ends(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents with their segments and whether a full stop stands after the last word."""
-    body = F.regexp_replace(F.col(text), _BLANKS, "")
-    rows = df.select(F.col(key).alias("__key"), body.alias("__body")).where("__body is not null and __body <> ''")
-    return rows.select("__key", _segments(F.col("__body")).alias("segs"), F.col("__body").rlike("(?<![.…])[.!?。][\"”’»)]*$").alias("stop"))
 
+def _steps(body: str) -> list[bytes]:
+    """Hashes of the prefixes of the lengths of LADDER that the text has."""
+    out, at, h = [], 0, hashlib.blake2b(digest_size=8)
+    for n in LADDER:
+        if n > len(body):
+            break
+        h.update(body[at:n].encode())
+        out.append(h.copy().digest())
+        at = n
+    return out
 
-def _tails(ends: DataFrame) -> DataFrame:
-    """The last words of each document and what its layout says about full stops."""
-    last = F.element_at("segs", -1)
-    before = F.when(F.size("segs") > 1, F.element_at("segs", -2)["s"]).otherwise(F.lit(""))
-    w, j = F.col("w"), F.size("w") - 1
-    long = F.filter(F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(0))), lambda x: F.size(x["w"]) > 3)
-    stops = F.size(F.filter(long, lambda x: F.rtrim(x["s"]).rlike("[.!?。]$")))
-    bare = F.size(F.filter(long, lambda x: ~F.rtrim(x["s"]).rlike("[.!?:,。]$")))
-    rows = ends.where(F.size("segs") > 0).select("__key", "stop", last["w"].alias("w"), last["s"].alias("s"), before.alias("before"), (stops > bare).alias("prose"))
-    keys = _keys(w, j)
-    # A name under a short line without a full stop is a signature.
-    capitals = F.trim("s").rlike(r"^(?:\p{Lu}[\p{L}\p{M}'’.-]*\s*){1,4}$")
-    signature = capitals & (F.size("w") <= 4) & (F.col("before") != "") & (F.size(F.split(F.trim("before"), r"\s+")) < 6) & ~F.rtrim("before").endswith(".")
-    return rows.select(
-        "__key", "stop", "prose", signature.alias("signature"), (F.size("w") > 3).alias("long"), F.get(w, j).alias("last"), *[k.alias(f"k{n}") for n, k in keys.items()]
-    )
 
+def _layout(segs: list[tuple[str, list[str]]]) -> tuple[bool, bool]:
+    """Whether the lines of a text end with full stops, and whether its last line is a signature: a name under a short line."""
+    ends = [s.rstrip()[-1:] for s, w in segs[:-1] if len(w) > 3]
+    prose = sum(e in ".!?。" for e in ends) > sum(e not in ".!?:,。" for e in ends)
+    last, w = segs[-1]
+    before = segs[-2][0].strip() if len(segs) > 1 else ""
+    return prose, bool(before) and len(w) <= 4 and len(before.split()) < 6 and not before.endswith(".") and _CAPITALS.fullmatch(last.strip()) is not None
 
-def _copies(ends: DataFrame) -> DataFrame:
-    """(h, x, e, c): how often word x after the words of hash h ends a sentence or line, and how often more follows.
 
-    The last word of a document without a full stop says nothing and is left out.
+def _taken_apart(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Two kinds of rows of one pass over the texts.
+
+    (level, a, b, x, e, c): how often word x after the words a, b ends a sentence or line and how often more follows; a: for level 's' the
+    two words the sentence begins with, for '3' the word before b; '^' before the first. Partial sums. The last word of a document without a
+    full stop says nothing and isn't counted. (tail): what is asked about the end of each document with text.
     """
-    segs = ends.select("stop", F.size("segs").alias("n"), F.posexplode("segs").alias("i", "seg")).select("stop", (F.col("i") == F.col("n") - 1).alias("final"), F.col("seg.w").alias("w"))
-    at = segs.select("stop", "final", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("j"))
-    w, j = F.col("w"), F.col("j")
-    end = j == F.size("w") - 1
-    keys = _keys(w, j)
-    rows = at.where(~(F.col("final") & end & ~F.col("stop"))).select(
-        F.get(w, j).alias("x"), end.cast("bigint").alias("e"), (~end).cast("bigint").alias("c"),
-        F.explode(F.array(F.struct(keys["s"].alias("h"), F.lit(None).cast("bigint").alias("g")), F.struct(keys["3"].alias("h"), keys["2"].alias("g")))).alias("k"),
-    )
-    return rows.groupBy("k.h", "k.g", "x").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
+    kind = docs.schema[key].dataType.simpleString()
+    ddl = _SCHEMA.format(key=kind)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
 
-def _looked_up(tails: DataFrame, copies: DataFrame, level: str) -> DataFrame:
-    """Tails with counts a (copies that end), b (copies after whose last word more follows), p (copies whose last word goes on)."""
-    t = tails.select("tail", "last", F.col(f"k{level}").alias("kh"))
-    same = (F.col("kh") == F.col("h")) & (F.col("initial") == F.substring("last", 1, 1))
-    hit = t.join(copies.withColumn("initial", F.substring("x", 1, 1)), same).where(F.expr("startswith(x, last)"))
+    def counted(ids: dict[str, int], parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The rows of the first kind of segments given as (numbers of words, sizes, whether the last word isn't counted)."""
+        x, sizes, dumb = (np.concatenate(p) for p in zip(*parts))
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        j = np.arange(len(x)) - first
+        end = j == np.repeat(sizes, sizes) - 1
+        p1 = np.where(j > 0, np.roll(x, 1), 0)
+        p2 = np.where(j > 1, np.roll(x, 2), 0)
+        begin = np.where(j > 1, x[first] << 32 | x[np.minimum(first + 1, len(x) - 1)], -1)
+        begins, begin = np.unique(begin, return_inverse=True)
+        kept = ~(end & np.repeat(dumb, sizes))
+        names = np.array(list(ids), dtype=object)
+        for level, a in (("s", begin), ("3", p2)):
+            if len(names) < 1 << 21:
+                keys, which, n = np.unique((a << 42 | p1 << 21 | x)[kept], return_inverse=True, return_counts=True)
+                a, b, c = keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF
+            else:
+                keys, which, n = np.unique(np.stack([a, p1, x], 1)[kept], axis=0, return_inverse=True, return_counts=True)
+                a, b, c = keys.T
+            ends = np.bincount(which.ravel(), weights=end[kept], minlength=len(keys)).astype(np.int64)
+            if level == "s":
+                a = np.array(["^" if v < 0 else f"{names[v >> 32]} {names[v & 0xFFFFFFFF]}" for v in begins], dtype=object)[a]
+            else:
+                a = names[a]
+            columns = [pa.array(v, pa.string()) for v in ([level] * len(keys), a, names[b], names[c])] + [pa.array(ends), pa.array(n - ends)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(keys), schema.field("tail").type)], schema=schema)
+
+    def numbers() -> defaultdict[str, int]:
+        ids: defaultdict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        ids["^"]
+        return ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts, words = numbers(), [], 0
+        for batch in batches:
+            tails, segments, dumb = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = _body(t)
+                if not body:
+                    continue
+                stop = _STOP.search(body[-40:]) is not None
+                segs = _segments(body)
+                segments += [w for _, w in segs]
+                dumb += [False] * len(segs)
+                tail = {"key": k, "stop": stop, "n": len(body), "full": _hash(body.encode()), "steps": _steps(body), "prose": False, "signature": False, "long": False, "last": "", "s": ["", "", ""]}
+                if segs:
+                    dumb[-1] = not stop
+                    w = segs[-1][1]
+                    n = len(w) - 1
+                    prose, signature = _layout(segs)
+                    tail |= {"prose": prose, "signature": signature, "long": n > 2, "last": w[n], "s": [" ".join(w[:2]) if n > 1 else "^", ["^", "^", *w][n], ["^", *w][n]]}
+                tails.append(tail)
+            if segments:
+                parts.append((np.array(list(map(ids.__getitem__, chain.from_iterable(segments))), dtype=np.int64), np.array([len(w) for w in segments]), np.array(dumb)))
+                words += len(parts[-1][0])
+            if words > FLUSH:
+                yield from counted(ids, parts)
+                ids, parts, words = numbers(), [], 0
+            if tails:
+                blank = [pa.nulls(len(tails), schema.field(i).type) for i in range(6)]
+                yield pa.RecordBatch.from_arrays([*blank, pa.array(tails, schema.field("tail").type)], schema=schema)
+        if parts:
+            yield from counted(ids, parts)
+
+    return docs.select(key, text).mapInArrow(run, ddl)
+
+
+def _prefixes(copies: DataFrame) -> DataFrame:
+    """Copies with each prefix of their word, the word itself included."""
+    return copies.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("x")))).withColumn("pre", F.expr("substring(x, 1, i)"))
+
+
+def _sums(level: str) -> list[Column]:
+    """a: copies that end, b: copies after whose last word more follows, p: copies whose last word goes on."""
     exact = F.col("x") == F.col("last")
-    return hit.groupBy("tail").agg(
+    return [
         F.sum(F.when(exact, F.col("e")).otherwise(0)).alias(f"a{level}"), F.sum(F.when(exact, F.col("c")).otherwise(0)).alias(f"b{level}"),
         F.sum(F.when(~exact, F.col("e") + F.col("c")).otherwise(0)).alias(f"p{level}"),
-    )
+    ]
+
+
+def _looked_up(tails: DataFrame, copies: DataFrame, level: str) -> DataFrame:
+    """(kh, last, a, b, p) of the ends that occur in ``copies``; only words after words that end a text are taken apart."""
+    asked = tails.select(F.col(f"k{level}").alias("kh"), "last").distinct()
+    near = _prefixes(copies.join(asked.select(F.col("kh").alias("h")).distinct(), "h", "left_semi"))
+    return near.join(asked, (F.col("kh") == F.col("h")) & (F.col("pre") == F.col("last"))).groupBy("kh", "last").agg(*_sums(level))
+
+
+def _longer_copies(docs: DataFrame, key: str, text: str, tails: DataFrame) -> DataFrame:
+    """(full, n, goes) of the texts that are strict prefixes of longer ones; goes: whether such a copy goes on inside the line.
+
+    Each text asks with its longest hashed prefix for longer texts that begin alike; only those are read again and hashed at its length. One
+    prefix is asked for with as many lengths as lie between two steps, at most, however many texts begin with it.
+    """
+    steps = F.col("steps")
+    asks = tails.where(F.size(steps) > 0).select(F.size(steps).alias("step"), F.element_at(steps, -1).alias("h"), F.col("n").alias("n")).distinct()
+    long = tails.select("key", F.col("n").alias("m"), F.posexplode("steps").alias("at", "h")).select("key", "m", (F.col("at") + 1).alias("step"), "h")
+    lengths = stored(long.join(asks, ["step", "h"]).where("n < m").groupBy(F.col("key").alias("__k")).agg(F.collect_set("n").alias("__ns")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, ns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = _body(t)
+                for n in ns:
+                    inside = body[n - 1 : n].isalnum() and body[n : n + 1].isalnum()
+                    sentence = body[n - 1 : n] not in ".!?:…。" and regex.match(r"[,;]?[^\S\n]+\p{Ll}", body[n : n + 80]) is not None
+                    out.append((_hash(body[:n].encode()), n, inside or sentence))
+            full, n, goes = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.binary()), pa.array(n, pa.int32()), pa.array(goes, pa.bool_())], names=["full", "n", "goes"])
+
+    met = docs.select(key, text).join(if_small(lengths), F.col(key).eqNullSafe(F.col("__k"))).select(text, "__ns")
+    return met.mapInArrow(run, "full binary, n int, goes boolean").groupBy("full", "n").agg(F.max("goes").alias("goes"))
 
 
 def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, truncated, evidence) of every document that isn't null, empty or blank.
 
-    evidence: the prefix that decided ('s' beginning of sentence and last words, '3', '2', '1' last words, 'layout' signatures,
-    'none' where nothing of the end occurs elsewhere; such a text counts as complete). Repeated rows give repeated rows; a
-    null key stays. Extra columns are left out. An empty table gives an empty one. Whole texts are read, whatever their length.
+    evidence: the prefix that decided ('copy' the whole text, 's' beginning of sentence and last words, '3', '2', '1' last words,
+    'layout' signatures, 'none' where nothing of the end occurs elsewhere or no word stands in the text; such a text counts as complete).
+    Repeated rows count once; a null key stays. Extra columns are left out. An empty table gives an empty one. Whole texts are read,
+    whatever their length.
     """
-    ends = _ends(widen(docs.select(key, text)), key, text)
-    counts = cut(_copies(ends))
-    tails = cut(_tails(ends))
-    names = ["last", "ks", "k3", "k2", "k1"]
-    # Equal ends are looked up once.
-    ways = tails.where("not signature").select(*names).distinct().withColumn("tail", F.xxhash64(*names))
-    fine = cut(
-        ways.join(_looked_up(ways, counts.where("g is null"), "s"), "tail", "left").join(_looked_up(ways, counts.where("g is not null"), "3"), "tail", "left")
-    )
-    open_ = fine.where("coalesce(as + bs + ps, 0) <= 1 and coalesce(a3 + b3 + p3, 0) <= 1").select(*names, "tail")
-    two = counts.where("g is not null").groupBy(F.col("g").alias("h"), "x").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
-    one = two.groupBy("x").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
-    begins = F.when(F.length("last") < 3, F.col("x1") == F.col("last")).otherwise(F.expr("startswith(x1, last)"))
-    exact = F.col("x1") == F.col("last")
-    single = (
-        open_.join(one.withColumnRenamed("x", "x1"), (F.substring("last", 1, 3) == F.substring("x1", 1, 3)) & begins)
-        .groupBy("tail")
-        .agg(F.sum(F.when(exact, F.col("e"))).alias("a1"), F.sum(F.when(exact, F.col("c"))).alias("b1"), F.sum(F.when(~exact, F.col("e") + F.col("c"))).alias("p1"))
-    )
-    full = fine.join(_looked_up(open_, two, "2"), "tail", "left").join(single, "tail", "left").drop(*names)
-    full = full.na.fill(0)
-    rows = tails.withColumn("tail", F.xxhash64(*names)).join(full, "tail", "left")
+    apart = stored(_taken_apart(widen(docs.select(key, text)), key, text))
+    level = lambda n, *words: F.xxhash64(F.lit(n), *words)
+    s = F.col("tail.s")
+    tails = apart.where("tail is not null").select("tail.*", level("s", s[0], s[2]).alias("ks"), level("3", s[1], s[2]).alias("k3"), level("2", s[2]).alias("k2")).drop("s").distinct()
+    words = [F.col(c) for c in "ab"]
+    counts = apart.where("level is not null").select(level("s", *words).alias("hs"), level("3", *words).alias("h3"), level("2", words[1]).alias("g"), "level", "x", "e", "c")
+    ways = tails.where("not signature")
+    fine = ways.select("last", "ks", "k3", "k2").distinct()
+    for n in "s3":
+        copies = counts.where(F.col("level") == n).select(F.col(f"h{n}").alias("h"), "x", "e", "c")
+        fine = fine.join(_looked_up(ways, copies, n).withColumnRenamed("kh", f"k{n}"), [f"k{n}", "last"], "left")
+    fine = stored(fine)
+    open_ = fine.where("coalesce(as + bs + ps, 0) <= 1 and coalesce(a3 + b3 + p3, 0) <= 1")
+    two = counts.where("level = '3'").select(F.col("g").alias("h"), "x", "e", "c")
+    one = _prefixes(two.groupBy("x").agg(F.sum("e").alias("e"), F.sum("c").alias("c")))
+    begins = (F.length("last") >= 3) | (F.col("x") == F.col("last"))
+    single = one.join(open_.select("last").distinct(), F.col("pre") == F.col("last")).where(begins).groupBy("last").agg(*_sums("1"))
+    full = open_.select("last", "ks", "k3", "k2").join(_looked_up(open_, two, "2").withColumnRenamed("kh", "k2"), ["k2", "last"], "left").join(single, "last", "left")
+    full = fine.join(full, ["last", "ks", "k3", "k2"], "left")
+    rows = tails.drop("steps").join(full, ["last", "ks", "k3", "k2"], "left").join(_longer_copies(docs, key, text, tails), ["full", "n"], "left").na.fill(0)
 
     # A text with a full stop is among the copies that end.
     own = F.when(F.col("stop"), F.lit(1)).otherwise(F.lit(0))
@@ -140,7 +271,8 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         yes = F.when(F.col("stop"), unended & after_stop).otherwise(unended | bare)
         verdict = F.when(all_ > 0, F.struct(yes.alias("truncated"), F.lit(n).alias("evidence"))).otherwise(verdict)
     verdict = F.when(F.col("signature"), F.struct(F.lit(False).alias("truncated"), F.lit("layout").alias("evidence"))).otherwise(verdict)
-    return rows.select(F.col("__key").alias(key), verdict.alias("v")).select(key, F.coalesce("v.truncated", F.lit(False)).alias("truncated"), "v.evidence")
+    verdict = F.when(F.col("goes"), F.struct(F.lit(True).alias("truncated"), F.lit("copy").alias("evidence"))).otherwise(verdict)
+    return rows.select(F.col("key").alias(key), verdict.alias("v")).select(key, F.coalesce("v.truncated", F.lit(False)).alias("truncated"), "v.evidence")
 
 
 def by_source(docs: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
