@@ -1,7 +1,7 @@
 """Problem 4: variant spellings of names that stand for the same person or agency.
 
-Names are brought to a class key (case, accents, titles, order and punctuation away). Similar tokens are found by what is left of
-them without one or two letters, so that none within the edits the comparison allows is missed. Classes that share an equal or
+Names are brought to a class key (case, accents, titles, order and punctuation away). Similar tokens are found by a prefix-filtered join
+of their q-grams, whose prefixes are long enough that none within the edits the comparison allows is missed. Classes that share an equal or
 similar token are candidates, those that share a common one if another token agrees as well; a soft token
 similarity, in which rare tokens weigh more, verifies them. Links between full names form components; names with a mere
 initial join a component only if no other fits.
@@ -11,18 +11,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.edits import edits
 from rankloom.operators.components import connected_components
-from rankloom.session import cut, widen
+from rankloom.session import cut, spread, stored
 
-#: Tokens of more letters are compared by pieces, not by what is left without some letters.
-LONG = 40
+#: Letters of a q-gram: with 3 the shortest tokens that are allowed one edit or two have to share a q-gram still.
+Q = 3
 #: Tokens in more name classes than this bring together only names whose other tokens are alike, too.
 RARE = 200
 LEAST_SCORE = 0.6
@@ -89,9 +92,21 @@ def organisation(tokens: list[str]) -> bool:
 
 
 def _alike(a: str, b: str) -> float:
-    """How well one token stands for another: 1 equal, less for nicknames, typos and initials, 0 not."""
+    """How well one token stands for another: 1 equal, less for nicknames, typos and initials, 0 not. Remembered, as tokens come again."""
     if a == b:
         return 1.0
+    s = _compared.get((a, b))
+    if s is None:
+        if len(_compared) > 200_000:
+            _compared.clear()
+        s = _compared[a, b] = _likeness(a, b)
+    return s
+
+
+_compared: dict[tuple[str, str], float] = {}
+
+
+def _likeness(a: str, b: str) -> float:
     if len(a) == 1 or len(b) == 1:
         return 0.7 if a[0] == b[0] else 0.0
     x, y = _NICKNAMES.get(a, a), _NICKNAMES.get(b, b)
@@ -192,53 +207,82 @@ def _classes(names: DataFrame, name: str) -> DataFrame:
     return names.select(F.col(name).alias("__name")).where(F.col(name).isNotNull()).distinct().mapInPandas(run, "__name string, key string, tokens array<string>")
 
 
-def _traces(word: str) -> set[str]:
-    """What is left of a token, or of the name it is short for, without up to as many letters as ``_alike`` allows edits.
+def _edits_allowed(word: str) -> int:
+    """Edits and swaps that ``_alike`` allows a token at most; a nickname those of its full name."""
+    n = max(len(word), len(_NICKNAMES.get(word, word)))
+    return 0 if n < 3 else 1 if n < 7 else 2
 
-    Two tokens that are alike have a trace in common, as each edit or swap is undone by leaving out one letter on each side. Long
-    tokens leave five pieces instead, of which two edits or swaps spare one, looked for up to two places off.
-    """
-    out = set()
-    for w in {word, _NICKNAMES.get(word, word)}:
-        n = len(w)
-        # A nickname is allowed the edits of its full name.
-        most = max(n, len(_NICKNAMES.get(w, w)))
-        if n <= LONG + 2:
-            out.add(w)
-            if most > 2:
-                out |= {w[:i] + w[i + 1 :] for i in range(n)}
-            if most > 6:
-                out |= {w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(n) for j in range(i + 1, n)}
-        if n > LONG:
-            for m in range(n - 2, n + 3):
-                ends = [m * k // 5 for k in range(6)]
-                for k in range(5):
-                    out |= {f"{m} {k} {w[i : i + ends[k + 1] - ends[k]]}" for i in range(max(0, ends[k] - 2), ends[k] + 3)}
+
+def _grams(word: str) -> list[str]:
+    """The q-grams of a word with its ends marked, each with a number if it comes again, so that they form a set."""
+    marked = "^" * (Q - 1) + word + "$" * (Q - 1)
+    seen: Counter = Counter()
+    out = []
+    for i in range(len(word) + Q - 1):
+        g = marked[i : i + Q]
+        out.append(f"{g}{seen[g] or ''}")
+        seen[g] += 1
     return out
 
 
+def _signatures(ordered: list[str], most: int) -> list[str]:
+    """Keys of a set of q-grams, rarest first: two sets whose words are up to ``most`` edits or swaps apart have one in common.
+
+    An edit changes up to Q q-grams and a swap Q + 1, so all but ``most`` * (Q + 1) are shared, and two of the rarest ``most`` * (Q + 1) + 2 of
+    each side, too. Each two of them make a key; where only one has to be shared, words of equal length, each one does as well.
+    """
+    spare = most * (Q + 1)
+    prefix = ordered[: spare + 2]
+    out = ["".join(p) for p in combinations(sorted(prefix), 2)]
+    return out + prefix if len(ordered) < spare + 2 else out
+
+
 def similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(a, b, alike), a < b, of all tokens that ``_alike`` takes for one another; of those with ``one`` false, if given, none among themselves."""
+    """(a, b, alike), a < b, of all tokens that ``_alike`` takes for one another; of those with ``one`` false, if given, none among themselves.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A prefix-filtered set-similarity join: q-grams are put in order of their frequency among the tokens, each token posts keys made of its
+    rarest ones, and tokens with a common key and fitting lengths are compared.
+    """
+
+    def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out = [(x, t, o) for t, o in zip(part["token"], part["one"]) for x in _traces(t)]
-                yield pd.DataFrame(out, columns=["trace", "token", "one"])
+            rows = [(form, t, o, g) for t, o in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for form in sorted({t, _NICKNAMES.get(t, t)}) for g in _grams(form)]
+            form, token, one, gram = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(token, pa.string()), pa.array(one, pa.bool_()), pa.array(gram, pa.string())], names=["form", "token", "one", "gram"])
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for form, t, o, grams in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                n, most = len(form), max(_edits_allowed(t), _edits_allowed(form))
+                rows += [(k, t, o, n) for k in _signatures([g["gram"] for g in grams], most)]
+            key, token, one, n = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(token, pa.string()), pa.array(one, pa.bool_()), pa.array(n, pa.int32())], names=["key", "token", "one", "n"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["alike"] = [_alike(a, b) for a, b in zip(batch["a"], batch["b"])]
-            yield batch[batch["alike"] > 0]
+            rows = [(a, b, s) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (s := _alike(a, b)) > 0]
+            a, b, s = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(s, pa.float64())], names=["a", "b", "alike"])
 
     words = tokens if "one" in tokens.columns else tokens.select("token", F.lit(True).alias("one"))
-    traces = widen(words.where("length(token) > 1").select("token", "one")).mapInPandas(run, "trace string, token string, one boolean")
-    index = cut(traces.select(F.xxhash64("trace").alias("trace"), "token", "one"))
-    a = index.where("one").select("trace", F.col("token").alias("a"))
-    b = index.select("trace", F.col("token").alias("b"), "one")
-    met = a.join(b, "trace").where("a < b or not one").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return cut(met.mapInPandas(verify, "a string, b string, alike double"))
+    apart = stored(spread(words.where("length(token) > 1").select("token", "one")).mapInArrow(take_apart, "form string, token string, one boolean, gram string"))
+    common = apart.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = apart.join(common, "gram").groupBy("form", "token", "one").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("grams"))
+    index = ordered.mapInArrow(post, "key string, token string, one boolean, n int")
+    index = stored(index.select(F.xxhash64("key").alias("key"), "token", "one", "n"))
+    a = index.where("one").select("key", F.col("token").alias("a"), F.col("n").alias("na"))
+    b = index.select("key", F.col("token").alias("b"), "n", "one")
+    met = a.join(b, "key").where("abs(na - n) <= 2 and (a < b or not one)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # A swap counts as two edits here; nicknames are compared by their full names.
+    full = F.create_map(*[F.lit(x) for kv in _NICKNAMES.items() for x in kv])
+    named = lambda c: F.coalesce(F.element_at(full, F.col(c)), F.col(c))
+    short = F.least(F.length(named("a")), F.length(named("b")))
+    bound = F.when(short < 7, 2).otherwise(4)
+    near = lambda x, y: F.levenshtein(x, y, 4).between(F.lit(0), bound)
+    nick = F.element_at(full, F.col("a")).isNotNull() | F.element_at(full, F.col("b")).isNotNull()
+    met = met.where(nick | near(F.col("a"), F.col("b")))
+    return stored(met.mapInArrow(verify, "a string, b string, alike double"))
 
 
 def _places(tokens: list[str]) -> Iterator[tuple[str, str, str, bool]]:
