@@ -4,16 +4,18 @@ Finding: formats for addresses of mail, telephones, identity numbers and streets
 that many people of the table bear) beside capitalised words, titles, initials, and the record's own name.
 
 Replacing: each item becomes a placeholder of its type that holds a surrogate made with a secret key. Names are replaced
-token by token, so order, commas, initials and case stay, and one person keeps one surrogate however written; the ending follows
-the gender of the given name and the letters its script. Digits of numbers go through a keyed permutation that keeps the format, so
-distinct numbers stay distinct. Surrogates of name tokens, mail addresses and streets are checked for collisions over
-the whole corpus; colliding ones are made anew.
+token by token, so order, commas, initials and case stay, and a person keeps one surrogate under a nickname, in another order or in other
+case; misspelled names and the initial of a nickname get others. The ending follows the gender of the given name, the letters its script. Digits
+of numbers go through a keyed permutation that keeps the format, so distinct numbers stay distinct. Surrogates of name tokens, mail
+addresses and streets are checked over the whole corpus and made anew until all are distinct.
+
+One pass over the texts finds the items and makes the surrogates; what was found and the masked texts both come from it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,13 +24,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from rankloom.llm.names import _NICKNAMES, organisation, tokens_of
+from rankloom.session import stored
 
 KINDS = ("email", "phone", "id", "address", "name")
 #: A token borne by this share of the names, and by this many, counts as a given name; so there are at most some hundreds.
 GIVEN_SHARE, GIVEN_LEAST = 0.004, 5
-#: More collisions than this are refused, as they are sent to the executors; 5 syllables a token keep them far below.
+#: If more collide, names get a syllable more, which makes collisions 85 times as rare; so what is sent to the executors is bounded.
 MOST_COLLISIONS = 100_000
 
 # Common given names, by gender; the ones borne often in the table are added to them.
@@ -135,24 +140,35 @@ class Finder:
     def __init__(self, given: set[str]):
         self.known: dict[str, bool] = {}
         self.bits: dict[str, int] = {}
+        self.owners: dict[str, tuple | None] = {}
         self.given = given | {_lower(n) for n in (*_FEMALE, *_MALE, *_NICKNAMES)}
 
+    def _parsed(self, name: str) -> tuple | None:
+        """(name, longest part, single-spaced) of a person's own name in lower case; None for firms and mere words."""
+        if name not in self.owners:
+            if len(self.owners) > 100_000:
+                self.owners.clear()
+            parts, tokens = name.lower().split(), tokens_of(name)
+            ok = parts and len(tokens) > 1 and not organisation(tokens)
+            self.owners[name] = (name.strip(), max(parts, key=len), " ".join(parts)) if ok else None
+        return self.owners[name]
+
     def _own(self, text: str, names: list[str]) -> list[tuple[int, int]]:
         """Where the record's own names stand, however spaced and in whatever case."""
         out = []
-        low = text.lower()
+        low = None
         for n in names:
-            parts = n.lower().split()
-            if not parts or max(parts, key=len) not in low or " ".join(parts) not in " ".join(low.split()):
+            parsed = self._parsed(n)
+            if parsed is None:
                 continue
-            tokens = tokens_of(n)
-            if len(tokens) < 2 or organisation(tokens):
+            whole, longest, single = parsed
+            low = text.lower() if low is None else low
+            if longest not in low or single not in " ".join(low.split()):
                 continue
-            whole = n.strip()
             if (a := text.find(whole)) >= 0 and low.count(whole.lower()) == 1:
                 spans = [(a, a + len(whole))]
             else:
-                spans = [m.span() for m in regex.finditer(r"\s+".join(map(regex.escape, n.split())), text, regex.I)]
+                spans = [m.span() for m in regex.finditer(r"\s+".join(map(regex.escape, whole.split())), text, regex.I)]
             out += [(a, b) for a, b in spans if not text[a - 1 : a].isalpha() and not text[b : b + 1].isalpha()]
         return out
 
@@ -182,6 +198,8 @@ class Finder:
         return bits
 
     def _token_bits(self, token: str) -> int:
+        if token.isalpha() and token.islower():
+            return (_LABEL if token in _LABELS else 0) | (_WAY if _STREET.search(f"{token} 1") else 0)
         b = _GIVEN if any(self._is_given(w) for w in _CAPITALS.findall(token)) else 0
         b |= _MARK if _MARKED.search(token + " ") else 0
         b |= _LABEL if not _LABELS.isdisjoint(re.findall(r"[^\W\d_]+", token.lower())) else 0
@@ -251,37 +269,49 @@ class Finder:
 
 
 _SCRIPTS = {
-    "latin": ("bdfghjklmnprstvwz", "aeiou", ("a", "o")),
-    "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", ("а", "о")),
-    "greek": ("βγδζθκλμνπρστφχψ", "αεηιο", ("α", "ος")),
+    "latin": ("bdfghjklmnprstvwz", "aeiou", ("a", "o"), "abcdefghijklmnopqrstuvwxyz"),
+    "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", ("а", "о"), "абвгдежзиклмнопрстуфхцчшщэюя"),
+    "greek": ("βγδζθκλμνπρστφχψ", "αεηιο", ("α", "ος"), "αβγδεζηθικλμνξοπρστυφχψω"),
 }
 
 
+_TITLE_ONLY = regex.compile(_TITLE)
+_EXTENSION = regex.compile(r"(.*?)((?:\s?(?:ext\.?|x)\s?\d+)?)", regex.I | regex.S)
+_MAIL_PARTS = regex.compile(r"(?P<l>[\w.+-]+)(?P<at>\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)(?P<h>.*)", regex.I | regex.S)
+_HOST, _NUMBERS, _BLANKS = regex.compile(r"^[\w-]+"), regex.compile(r"\d+"), regex.compile(r"\s+")
+_STREET_END = regex.compile(r"(straße|strasse|str|weg|allee|gasse|platz|ufer)$")
+_AT_WORD, _DOT_WORD = regex.compile(r"\s?[\[({]\s?at\s?[\])}]\s?"), regex.compile(r"\s?[\[({]\s?dot\s?[\])}]\s?")
+
+
 class Surrogates:
-    """Keyed replacements. ``again``: how often a colliding token is made anew."""
+    """Keyed replacements. ``again``: how often a colliding token is made anew. Surrogates are remembered, as items come again and again."""
 
     def __init__(self, key: bytes, again: dict[str, int] | None = None, syllables: int = 5):
-        self.key, self.again, self.syllables = key, again or {}, syllables
-        self.female = {_lower(n) for n in _FEMALE}
+        self.key, self.again, self.syllables = hashlib.sha256(key).digest(), again or {}, syllables
+        self.made: dict[tuple[str, str], str] = {}
+        self.orders: dict[str, dict[str, str]] = {}
 
     def _number(self, *parts: str) -> int:
-        return int.from_bytes(hmac.new(self.key, "\0".join(parts).encode(), hashlib.sha256).digest()[:16], "big")
+        return int.from_bytes(hashlib.blake2b("\0".join(parts).encode(), key=self.key, digest_size=16).digest(), "big")
 
     def initial(self, letter: str) -> str:
-        """A keyed permutation of the letters of a script's consonants and vowels."""
+        """A keyed permutation of the alphabet of a script; letters beyond the alphabet share those of its members."""
         script = _script(letter)
-        letters = _SCRIPTS[script][0] + _SCRIPTS[script][1]
+        if script not in self.orders:
+            alphabet = _SCRIPTS[script][3]
+            self.orders[script] = dict(zip(alphabet, sorted(alphabet, key=lambda c: self._number("initial", c))))
+        order = self.orders[script]
         base = _lower(letter)[:1]
-        order = sorted(letters, key=lambda c: self._number("initial", c))
-        at = letters.find(base)
-        return order[at] if at >= 0 else order[ord(base) % len(order)] if base else order[0]
+        return order.get(base) or list(order.values())[ord(base) % len(order) if base else 0]
 
     def token(self, word: str) -> str:
-        """Surrogate of one lower-case name token; its first letter depends only on the word's first letter."""
-        canon = _lower(word)
+        """Surrogate of one lower-case name token, of a nickname that of the full name; its first letter depends only on the first letter."""
+        canon = full_name(word)
+        if ("token", canon) in self.made:
+            return self.made["token", canon]
         times = self.again.get(f"token\0{canon}", 0)
         n = self._number("token", canon, str(times))
-        cons, vowels, (she, he) = _SCRIPTS[_script(word)]
+        cons, vowels, (she, he), _ = _SCRIPTS[_script(canon)]
         first = self.initial(canon[:1])
         out = first if first in vowels else first + vowels[n % len(vowels)]
         n //= len(vowels)
@@ -289,8 +319,14 @@ class Surrogates:
             n, c = divmod(n, len(cons))
             n, v = divmod(n, len(vowels))
             out += cons[c] + vowels[v]
-        ending = (she if canon in self.female else he) if canon in self.female or canon in _MALE_SET else cons[n % len(cons)]
-        return out + cons[n // 64 % len(cons)] + ending
+        ending = (she if canon in _FEMALE_SET else he) if canon in _FEMALE_SET or canon in _MALE_SET else cons[n % len(cons)]
+        return self._kept("token", canon, out + cons[n // 64 % len(cons)] + ending)
+
+    def _kept(self, kind: str, text: str, surrogate: str) -> str:
+        if len(self.made) > 200_000:
+            self.made.clear()
+        self.made[kind, text] = surrogate
+        return surrogate
 
     def name(self, text: str) -> str:
         """Token by token; titles, letter case, order and marks stay."""
@@ -299,7 +335,7 @@ class Surrogates:
             w = m.group()
             body, tail = (w[:-2], w[-2:]) if w.endswith(("'s", "’s")) else (w, "")
             low = _lower(body)
-            if regex.fullmatch(_TITLE, body) or low in ("msc", "phd", "bsc", "ma", "ba", "mba", "jr", "dr", "prof") or body == "M" and text[m.end() : m.end() + 1] == ".":
+            if _TITLE_ONLY.fullmatch(body) or low in ("msc", "phd", "bsc", "ma", "ba", "mba", "jr", "dr", "prof") or body == "M" and text[m.end() : m.end() + 1] == ".":
                 return w
             new = self.initial(body) if len(body) == 1 else self.token(body)
             return (new.upper() if body.isupper() else new.capitalize() if body[0].isupper() else new) + tail
@@ -330,7 +366,7 @@ class Surrogates:
 
     def phone(self, text: str) -> str:
         """The last seven digits before any extension, so that all formats of a number agree; the extension as well."""
-        body, ext = regex.fullmatch(r"(.*?)((?:\s?(?:ext\.?|x)\s?\d+)?)", text, regex.I | regex.S).groups()
+        body, ext = _EXTENSION.fullmatch(text).groups()
         n = sum(c.isdecimal() for c in body)
         return self.digits(body, max(0, n - 7)) + (self.digits(ext) if ext else "")
 
@@ -346,13 +382,13 @@ class Surrogates:
         local, _, host = canon.partition("@")
         n = self._number("email", canon, str(self.again.get(f"email\0{canon}", 0)))
         new = self._syllables(n, 7)
-        m = regex.match(r"(?P<l>[\w.+-]+)(?P<at>\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?)(?P<h>.*)", text, regex.I | regex.S)
+        m = _MAIL_PARTS.match(text)
         host_new = self._syllables(self._number("host", host), 3)
-        out = new + (m["at"] if m else "@") + regex.sub(r"^[\w-]+", host_new, m["h"] if m else host)
+        out = new + (m["at"] if m else "@") + _HOST.sub(host_new, m["h"] if m else host, count=1)
         return out.upper() if text.isupper() else out
 
     def _syllables(self, n: int, k: int) -> str:
-        cons, vowels, _ = _SCRIPTS["latin"]
+        cons, vowels = _SCRIPTS["latin"][:2]
         out = ""
         for _ in range(k):
             n, c = divmod(n, len(cons))
@@ -370,11 +406,11 @@ class Surrogates:
             if not w[0].isupper() or _lower(w) in _STREETS:
                 return w
             new = self._syllables(self._number("street", _lower(w), times), 4)
-            kind = regex.search(r"(straße|strasse|str|weg|allee|gasse|platz|ufer)$", w)
+            kind = _STREET_END.search(w)
             return (new + (kind.group() if kind else "")).capitalize()
 
         named = _WORDS.sub(one, text)
-        return regex.sub(r"\d+", lambda m: self._street_number(m.group(), times), named)
+        return _NUMBERS.sub(lambda m: self._street_number(m.group(), times), named)
 
     def _street_number(self, n: str, times: str) -> str:
         ds = self._permuted([int(c) for c in n])
@@ -383,9 +419,22 @@ class Surrogates:
         return "".join(map(str, ds))
 
     def of(self, kind: str, text: str) -> str:
-        return {"email": self.email, "phone": self.phone, "id": self.ident, "address": self.address, "name": self.name}[kind](text)
+        found = self.made.get((kind, text))
+        return found if found is not None else self._kept(kind, text, getattr(self, {"id": "ident"}.get(kind, kind))(text))
 
+    def entity(self, entity: str, text: str) -> str:
+        """The surrogate of what ``canonical`` names, in lower case."""
+        kind, _, canon = entity.partition("\0")
+        return self.token(canon) if kind == "token" else self.of(kind, text).lower()
 
+
+def full_name(word: str) -> str:
+    """A name token in lower case without accents, in full if it is a nickname."""
+    low = _lower(word)
+    return _lower(_NICKNAMES.get(low, low))
+
+
+_FEMALE_SET = {_lower(n) for n in _FEMALE}
 _MALE_SET = {_lower(n) for n in _MALE}
 _STREETS = frozenset(
     "flat apt apartment unit suite room street st road rd avenue ave lane ln drive dr court ct close boulevard blvd way place square sq terrace crescent row walk hill parade gardens grove mews"
@@ -404,9 +453,7 @@ def _script(text: str) -> str:
 
 def plain_email(text: str) -> str:
     """local@host in lower case, however written."""
-    s = regex.sub(r"\s?[\[({]\s?at\s?[\])}]\s?", "@", text.lower())
-    s = regex.sub(r"\s?[\[({]\s?dot\s?[\])}]\s?", ".", s)
-    return regex.sub(r"\s+", "", s)
+    return _BLANKS.sub("", _DOT_WORD.sub(".", _AT_WORD.sub("@", text.lower())))
 
 
 def common_given_names(names: DataFrame, name: str = "name") -> set[str]:
@@ -419,80 +466,128 @@ def common_given_names(names: DataFrame, name: str = "name") -> set[str]:
     return words - {"msc", "phd", "bsc", "ltd", "limited", "staffing", "recruitment", "talent", "unknown", "prof"}
 
 
-def _in_texts(rows: DataFrame, given: set[str], out, schema: str) -> DataFrame:
-    """Runs ``out(finder, place, stem, pos, text, names)`` over rows (place, stem, pos, text, names); names: lines of a string or null."""
+def secret(spark, seed: DataFrame) -> bytes:
+    """The key of the surrogates: spark.rankloom.key or RANKLOOM_KEY.
+
+    Without either it is made of hashes over all rows of ``seed``: only who has the unmasked table can work it out, and it stays the same for
+    the same table.
+    """
+    named = spark.conf.get("spark.rankloom.key", None) or os.environ.get("RANKLOOM_KEY")
+    if named:
+        return named.encode()
+    columns = [F.col(c) for c in seed.columns]
+    sums = seed.agg(*[F.sum(F.xxhash64(F.lit(f"key {i}"), *columns).cast("decimal(20,0)")) for i in range(4)]).first()
+    return repr(tuple(sums)).encode()
+
+
+_ITEMS = "place string, stem string, pos int, items array<struct<kind: string, start: int, end: int, item: string, surrogate: string>>"
+
+
+def find_items(rows: DataFrame, given: set[str], key: bytes, whole: bool = False) -> DataFrame:
+    """(place, stem, pos, items) of each text or line with personal information: kind, span, text and surrogate of each item in order.
+
+    ``rows``: place, stem, pos, text and names (the record's own names, one a line, or null). Where pos is null, the text is taken line by line
+    and pos is the number of the line from 1. ``whole``: texts without items have a row, too, and there is a column text. Surrogates aren't
+    checked for collisions yet. Null and empty texts hold nothing; repeated rows stay repeated.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(given)
-    fields = [tuple(c.split()) for c in schema.split(", ")]
-    kinds = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in fields])
+    ddl = _ITEMS + (", text string" if whole else "")
+    schema = to_arrow_schema(_parse_datatype_string(ddl))
+    item_type = schema.field("items").type.value_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(sent.value)
-        last: tuple = (None, [])
+        finder, surrogates = Finder(sent.value), Surrogates(key)
         for batch in batches:
-            made = []
+            made, flat, ends = [], [], [0]
             for place, stem, pos, text, names in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if names != last[0]:
-                    last = (names, [n for n in (names or "").split("\n") if n.strip()])
-                made += out(finder, place, stem, pos, text, last[1])
-            columns = zip(*made) if made else [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, kinds)], schema=kinds)
+                own = [n for n in names.split("\n") if n.strip()] if names else []
+                for i, t in enumerate(text.split("\n"), 1) if pos is None and text is not None else ((pos, text),):
+                    found = finder.find(t, own)
+                    if found or whole:
+                        flat += [(kind, a, b, t[a:b], surrogates.of(kind, t[a:b])) for a, b, kind in found]
+                        ends.append(len(flat))
+                        made.append((place, stem, i, t))
+            columns = zip(*flat) if flat else [()] * 5
+            values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, item_type)], fields=list(item_type))
+            items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, type=schema.field("items").type)
+            place, stem, pos, text = zip(*made) if made else [()] * 4
+            out = [pa.array(place, pa.string()), pa.array(stem, pa.string()), pa.array(pos, pa.int32()), items] + ([pa.array(text, pa.string())] if whole else [])
+            yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return rows.select("place", "stem", "pos", "text", "names").mapInArrow(run, schema)
+    return rows.select("place", "stem", "pos", "text", "names").mapInArrow(run, ddl)
 
 
-def places(rows: DataFrame, given: set[str]) -> DataFrame:
-    """(place, stem, pos, kind) of each place that holds an item; rows as in ``mask``."""
-    return _in_texts(rows, given, lambda f, place, stem, pos, text, names: [(place, stem, pos, k) for k in sorted({k for _, _, k in f.find(text, names)})], "place string, stem string, pos int, kind string")
+def places(items: DataFrame) -> DataFrame:
+    """(place, stem, pos, kind) of each place that holds an item, once."""
+    return items.select("place", "stem", "pos", F.explode(F.array_distinct(F.transform("items", lambda x: x["kind"]))).alias("kind")).distinct()
 
 
 def canonical(kind: str, text: str) -> list[str]:
     """The keys by which the surrogates of an item are made and checked."""
     if kind == "name":
-        return [f"token\0{_lower(w.removesuffix("'s"))}" for w in _WORDS.findall(text) if len(w) > 1]
+        return [f"token\0{full_name(w.removesuffix("'s").removesuffix('’s'))}" for w in _WORDS.findall(text) if len(w) > 1]
     if kind == "email":
         return [f"email\0{plain_email(text)}"]
     return [f"address\0{' '.join(_lower(text).split())}"] if kind == "address" else []
 
 
-def collisions(rows: DataFrame, given: set[str], key: bytes) -> dict[str, int]:
-    """Of all entities of the corpus whose surrogates are the same, all but the first, with how often to make them anew.
+def distinct_surrogates(items: DataFrame, key: bytes, syllables: int = 5) -> tuple[dict[str, int], int]:
+    """(how often to make the surrogates of which entities anew, syllables), so that no two entities of the corpus share one.
 
-    The entities and their surrogates stay distributed; only the collisions, a few in a billion, reach the driver.
+    The entities and their surrogates stay distributed. Of those that share one all but the first are made anew and checked against all others,
+    until none is left; only they reach the driver, a few in a billion, and if there are more than MOST_COLLISIONS, it begins again
+    with one syllable more.
     """
 
-    def entities(f, place, stem, pos, text, names):
-        s = Surrogates(key)
-        made = set()
-        for a, b, kind in f.find(text, names):
-            for c in canonical(kind, text[a:b]):
-                made.add((c, s.token(c[6:]) if c[:6] == "token\0" else s.of(kind, text[a:b].lower())))
-        return list(made)
-
-    found = _in_texts(rows, given, entities, "entity string, surrogate string").groupBy("entity").agg(F.min(F.lower("surrogate")).alias("surrogate"))
-    kind = F.split("entity", "\0")[0]
-    clash = found.groupBy(kind.alias("kind"), "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1")
-    c = clash.select(F.col("surrogate").alias("s"), F.col("kind").alias("k"), "first")
-    worse = found.join(c, (F.col("surrogate") == F.col("s")) & (kind == F.col("k"))).where("entity <> first").select("entity").limit(MOST_COLLISIONS + 1).collect()
-    if len(worse) > MOST_COLLISIONS:
-        raise ValueError("too many surrogates collide; use more syllables")
-    return {r["entity"]: n for n, r in enumerate(sorted(worse), 1)}
-
-
-def mask(rows: DataFrame, given: set[str], key: bytes, again: dict[str, int] | None = None) -> DataFrame:
+    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(c, t) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in canonical(k, t)]
+            e, t = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(t, pa.string())], names=["entity", "item"])
+
+    each = items.select(F.explode("items").alias("x")).select("x.kind", "x.item").where("kind in ('name', 'email', 'address')").distinct()
+    known = stored(each.mapInArrow(entities, "entity string, item string").groupBy("entity").agg(F.min("item").alias("item")))
+    again: dict[str, int] = {}
+    while True:
+        sent = items.sparkSession.sparkContext.broadcast((again, syllables))
+
+        def surrogates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = Surrogates(key, *sent.value)
+            for batch in batches:
+                e = batch.column(0).to_pylist()
+                new = [s.entity(x, t) for x, t in zip(e, batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.split("\0")[0] for x in e], pa.string()), pa.array(new, pa.string())], names=["entity", "kind", "surrogate"])
+
+        made = known.mapInArrow(surrogates, "entity string, kind string, surrogate string")
+        clash = made.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("entity").alias("first")).where("n > 1")
+        worse = [r["entity"] for r in made.join(clash, ["kind", "surrogate"]).where("entity <> first").select("entity").limit(MOST_COLLISIONS + 1).collect()]
+        if not worse:
+            return again, syllables
+        if len(worse) + len(again) > MOST_COLLISIONS:
+            again, syllables = {}, syllables + 1
+        else:
+            top = max(again.values(), default=0)
+            again = again | {e: top + n for n, e in enumerate(sorted(worse), 1)}
+
+
+def mask(rows: DataFrame, given: set[str], key: bytes, syllables: int = 5) -> DataFrame:
     """(place, stem, pos, text) with every item replaced by [KIND surrogate]; all else stays as it is.
 
-    ``rows``: place, stem, pos, text and names (the record's own names, one a line, or null). Null texts stay null, empty ones empty;
-    repeated rows stay repeated.
+    ``rows`` as in ``find_items``. Null texts stay null, empty ones empty; repeated rows stay repeated.
     """
+    items = stored(find_items(rows, given, key, whole=True))
+    sent = rows.sparkSession.sparkContext.broadcast(distinct_surrogates(items, key, syllables))
 
-    def out(f, place, stem, pos, text, names):
-        s = Surrogates(key, again)
-        if text is None:
-            return [(place, stem, pos, None)]
-        parts, at = [], 0
-        for a, b, kind in f.find(text, names):
-            parts += [text[at:a], f"[{kind.upper()} {s.of(kind, text[a:b])}]"]
-            at = b
-        return [(place, stem, pos, "".join(parts) + text[at:])]
-
-    return _in_texts(rows, given, out, "place string, stem string, pos int, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Surrogates(key, *sent.value)
+        for batch in batches:
+            texts = []
+            for found, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                parts, at = [], 0
+                for x in found:
+                    parts += [text[at : x["start"]], f"[{x['kind'].upper()} {s.of(x['kind'], x['item'])}]"]
+                    at = x["end"]
+                texts.append("".join(parts) + text[at:] if found else text)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["place", "stem", "pos", "text"])
+
+    return items.mapInArrow(run, "place string, stem string, pos int, text string")

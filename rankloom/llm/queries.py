@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,32 +53,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_ranked(spark, d).join(runs, "run_id").where("rank <= shortlist").select("run_id", "stem")
 
 
-#: Key of the surrogates; a parameter in production.
-P3_KEY = os.environ.get("RANKLOOM_KEY", "rankloom").encode()
-
-
-def _p3_rows(spark: SparkSession, d: str) -> tuple[DataFrame, set[str]]:
-    """(place, stem, pos, text, names) of all texts, and the given names borne often; repeated rows go at the end, when they are small."""
+def _p3_rows(spark: SparkSession, d: str) -> tuple[DataFrame, set[str], bytes]:
+    """(place, stem, pos, text, names) of all texts, the given names borne often and the key; repeated rows go at the end, when they are small."""
     c = table(spark, d, "candidates", "stem", "name", "email", "raw_text")
-    raw = c.where("raw_text is not null").select("stem", F.posexplode(F.split("raw_text", "\n")).alias("i", "text"), "name")
-    raw = raw.select(F.lit("raw_text").alias("place"), "stem", (F.col("i") + 1).cast("int").alias("pos"), "text", F.col("name").alias("names"))
+    raw = c.where("raw_text is not null").select(F.lit("raw_text").alias("place"), "stem", F.lit(None).cast("int").alias("pos"), F.col("raw_text").alias("text"), F.col("name").alias("names"))
     mail = c.where("email is not null").select(F.lit("email").alias("place"), "stem", F.lit(0).alias("pos"), F.col("email").alias("text"), F.col("name").alias("names"))
     own = c.where("name is not null").select("stem", "name").distinct().groupBy("stem").agg(F.array_join(F.collect_list("name"), "\n").alias("names"))
     unit = table(spark, d, "units", "stem", "unit_idx", "text").join(own, "stem", "left").select(F.lit("unit").alias("place"), "stem", F.col("unit_idx").alias("pos"), "text", "names")
-    return raw.unionByName(mail).unionByName(unit), personal.common_given_names(c)
+    return raw.unionByName(mail).unionByName(unit), personal.common_given_names(c), personal.secret(spark, c.select("stem", "name", "email"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Places that hold personal information, by kind."""
-    rows, given = _p3_rows(spark, d)
-    return personal.places(rows, given).distinct()
+    return personal.places(personal.find_items(*_p3_rows(spark, d)))
 
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     """The same texts with every item replaced by a typed placeholder with a surrogate."""
-    rows, given = _p3_rows(spark, d)
-    again = personal.collisions(rows, given, P3_KEY)
-    return personal.mask(rows, given, P3_KEY, again).distinct()
+    return personal.mask(*_p3_rows(spark, d)).distinct()
 
 
 def p4_entities(spark: SparkSession, d: str) -> DataFrame:
