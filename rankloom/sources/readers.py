@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.cleaning import clean
+from rankloom.functions.cleaning import cleaned
 
 SUPPORTED = ("pdf", "docx", "txt", "xml", "md")
 LEAST_PDF = 100
+#: Only files with these endings are opened at all.
+_GLOB = "*.{" + ",".join(f for e in SUPPORTED for f in (e, e.upper())) + "}"
 # Element name -> heading.
 HEADINGS = {
     "applicant": "CONTACT", "summary": "PROFESSIONAL SUMMARY", "education": "EDUCATION", "technicalskills": "TECHNICAL SKILLS", "skills": "TECHNICAL SKILLS",
@@ -40,10 +42,10 @@ def xml_text(data: bytes) -> str:
         tag = node.tag.rpartition("}")[2].lower()
         if depth == 1 and len(node):
             out.append("\n" + HEADINGS.get(tag, tag.upper()))
-        if node.get("category"):
-            out.append(f"{node.get('category')}:")
         if (node.text or "").strip():
             out.append(("- " if tag == "bullet" else "") + node.text.strip())
+        if node.get("category"):
+            out.append(f"{node.get('category')}:")
         todo += [(child, depth + 1) for child in reversed(node)]
     return "\n".join(out)
 
@@ -56,7 +58,8 @@ def docx_text(data: bytes) -> str:
     out = [words(p) for p in body.findall(f"{_W}p")]
     for row in body.iter(f"{_W}tr"):
         cells = [" ".join(words(p) for p in c.findall(f"{_W}p")).strip() for c in row.findall(f"{_W}tc")]
-        out.append(" | ".join(dict.fromkeys(c for c in cells if c)))
+        if any(cells):
+            out.append(" | ".join(dict.fromkeys(c for c in cells if c)))
     return "\n".join(out)
 
 
@@ -82,11 +85,11 @@ _READERS = {"xml": xml_text, "docx": docx_text, "pdf": pdf_text}
 
 
 def read_bytes(fmt: str, data: bytes) -> tuple[str, str | None]:
-    """(cleaned text, error)."""
+    """(text as extracted, error)."""
     try:
         if fmt not in SUPPORTED:
             return "", f"unsupported format {fmt}"
-        return clean(_READERS[fmt](data) if fmt in _READERS else data.decode("utf-8", "replace")), None
+        return _READERS[fmt](data) if fmt in _READERS else data.decode("utf-8", "replace"), None
     except Exception as e:
         return "", f"{type(e).__name__}: {e}"
 
@@ -97,7 +100,8 @@ def _parsed(files: DataFrame) -> DataFrame:
             done = [read_bytes(f, bytes(c)) for f, c in zip(b["fmt"], b["content"])]
             yield pd.DataFrame({"stem": b["stem"], "fmt": b["fmt"], "path": b["path"], "raw_text": [t for t, _ in done], "error": [e for _, e in done]})
 
-    return files.mapInPandas(run, "stem string, fmt string, path string, raw_text string, error string")
+    read = files.mapInPandas(run, "stem string, fmt string, path string, raw_text string, error string")
+    return read.withColumn("raw_text", cleaned(F.col("raw_text")))
 
 
 def _named(files: DataFrame) -> DataFrame:
@@ -107,16 +111,18 @@ def _named(files: DataFrame) -> DataFrame:
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, fmt, path, raw_text, error) of the supported files right in a folder."""
-    return _parsed(_named(spark.read.format("binaryFile").load(folder)))
+    return _parsed(_named(spark.read.format("binaryFile").option("pathGlobFilter", _GLOB).load(folder)))
 
 
 def stream_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The same as a stream of new files."""
-    return _parsed(_named(spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)))
+    return _parsed(_named(spark.readStream.format("binaryFile").option("pathGlobFilter", _GLOB).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)))
 
 
 def pick_description(files: DataFrame) -> DataFrame:
-    """The one file to take as description: the first PDF or DOCX by path, else the first MD or TXT."""
+    """The one file to take as description: the first PDF or DOCX by path, else the first MD or TXT; an error where there is none."""
     order = F.struct(F.when(F.col("fmt").isin("pdf", "docx"), 0).otherwise(1), F.col("path"))
     cols = F.struct(*files.columns)
-    return files.where(F.col("fmt").isin("pdf", "docx", "md", "txt")).agg(F.min_by(cols, order).alias("f")).where("f is not null").select("f.*")
+    found = files.where(F.col("fmt").isin("pdf", "docx", "md", "txt")).agg(F.min_by(cols, order).alias("f"))
+    # An aggregate over no file at all has one row, too, so it is there that the want of one is noticed.
+    return found.select(F.when(F.col("f").isNull(), F.raise_error(F.lit("no description among the files")).cast(found.schema["f"].dataType)).otherwise(F.col("f")).alias("f")).select("f.*")

@@ -34,8 +34,38 @@ def test_joined_and_trimmed(spark):
     assert one(spark, T.trimmed(F.col("t"), 10), t="one two  three four") == "one two..."
 
 
-def test_wrap():
-    assert [len(p) for p in ingest.wrap("x" * 900, 400, 25)] == [400, 400, 100]
+def test_wrapped(spark):
+    def brute(t, most):
+        out = []
+        while len(t) > most:
+            at = max(t.rfind(" ", 1, most), 0) or most
+            out, t = [*out, t[:at].strip()], t[at:].strip()
+        return [*out, t]
+
+    texts = ["x" * 900, "word " * 200, "a" * 399 + " " + "b" * 30, "a" * 400 + " b", "short", "ab " * 133 + "c" * 500]
+    df = spark.createDataFrame([(t.strip(),) for t in texts], "t string").select("t", ingest.wrapped(F.col("t"), 400).alias("p"))
+    assert all([x for x in r["p"] if x] == [x for x in brute(r["t"], 400) if x] for r in df.collect())
+
+
+def test_noise_is_judged_before_lines_are_split(spark):
+    line = "We kept the archive in order for many years. " * 12 + "See https://x.example for more. " + "And the reading room as well. " * 5
+    lines = spark.createDataFrame([("a", 0, line, "summary", False), ("a", 1, "We kept the archive in good order", "summary", False)], "stem string, line_no int, line string, section string, is_header boolean")
+    assert [r["text"] for r in ingest.split_units(lines, "stem").collect()] == ["We kept the archive in good order"]
+
+
+def test_names_of(spark):
+    rows = [("Resume_Anne_Smith", "nothing here to see, 123"), ("x", "ANNE-MARIE O. SMITH\n"), ("cv_001", None), ("zoe_12_tom_lee", ""), ("y", "Experience\nJo Lee")]
+    got = {r["stem"]: r["name"] for r in ingest.names_of(spark.createDataFrame(rows, "stem string, raw_text string"), "stem", "raw_text").collect()}
+    assert got == {"Resume_Anne_Smith": "Anne Smith", "x": "Anne-Marie O. Smith", "cv_001": "cv_001", "zoe_12_tom_lee": "Tom Lee", "y": "Jo Lee"}
+
+
+def test_fuzzy_headers_and_skills(spark):
+    text = "Jo Lee\nSkils\nkubernets, react js\nskils\nWORK EXPERINCE:\nused sql daily\n- Edukation"
+    texts = spark.createDataFrame([("a", text)], "stem string, raw_text string")
+    got = {r["line"]: (r["is_header"], r["section"]) for r in ingest.fuzzy_headers(ingest.lines_of(texts, "stem", "raw_text"), "stem").collect()}
+    assert got["Skils"] == (True, "skills") and got["skils"][0] is False and got["WORK EXPERINCE:"] == (True, "experience") and got["- Edukation"][0] is False
+    vocab = spark.createDataFrame([(w, w) for w in ("kubernetes", "reactjs", "sql")], "term string, canon string")
+    assert {r["skill"] for r in ingest.all_skills(texts, "stem", "raw_text", vocab).collect()} == {"kubernetes", "reactjs", "sql"}
 
 
 def test_units_of_a_small_resume(spark):

@@ -3,7 +3,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from rankloom.functions.cleaning import clean
+from pyspark.sql import functions as F
+
+from rankloom.functions.cleaning import cleaned
 from rankloom.operators import fuse
 from rankloom.plans import pipeline, queries
 from rankloom.sources import artifact, readers
@@ -23,8 +25,12 @@ def docx(paragraphs, rows):
     return out.getvalue()
 
 
-def test_clean():
-    assert clean("•\nLed team") == "- Led team" and clean("a b") == "a b" and clean("ﬁle") == "file" and clean("a\n\n\n\nb &amp; c") == "a\n\nb & c"
+def test_cleaned(spark):
+    cases = {
+        "•\nLed team": "- Led team", "a\u00a0b": "a b", "ﬁle": "file", "a\n\n\n\nb &amp; c": "a\n\nb & c", "a\x0cb\u2028c": "a\nb\nc", " \t x  y \n  z ": "x y\nz", "“q” – it’s\u200b": '"q" - it\'s', "": "", "-\n\nitem": "- item",
+    }
+    df = spark.createDataFrame([*cases.items(), (None, None)], "t string, want string")
+    assert [r for r in df.select("want", cleaned(F.col("t")).alias("got")).collect() if r["want"] != r["got"]] == []
 
 
 def test_formats(spark, tmp_path):
@@ -35,7 +41,7 @@ def test_formats(spark, tmp_path):
     (tmp_path / "e.png").write_bytes(b"no")
     rows = {r["stem"]: r for r in readers.read_folder(spark, str(tmp_path)).collect()}
     assert set(rows) == set("abcd")
-    assert rows["b"]["raw_text"] == "TECHNICAL SKILLS\nLang:\nx\ntext"
+    assert rows["b"]["raw_text"] == "TECHNICAL SKILLS\nx\nLang:\ntext"
     assert rows["c"]["raw_text"] == "one\ntwo\nx | y"
     assert rows["d"]["raw_text"] == "" and rows["d"]["error"]
     assert readers.pick_description(readers.read_folder(spark, str(tmp_path))).first()["stem"] == "c"
