@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
 from rankloom.operators.fuse import rank_within
+from rankloom.session import if_small
 from rankloom.settings import DEFAULT, Settings
 
 # Wording by category; the supportive words are kept for reference and never reported.
@@ -18,7 +19,6 @@ LEXICON = {
     "exclusionary": ("native english speaker", "native speaker", "perfect english", "no career gaps", "continuous employment", "must own a car", "clean-cut", "culture fit", "work hard play hard", "like a family", "unlimited hours", "thick skin"),
     "elite_signalling": ("tier-1 college only", "iit only", "nit only", "ivy league", "top-tier university only", "premier institute only"),
 }
-SEVERITY = {"exclusionary": "high", "gendered_pronouns": "high"}
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
@@ -28,19 +28,34 @@ def lexicon(spark: SparkSession) -> DataFrame:
 
 
 def coded_words(texts: DataFrame, keys: list[str], text: str, words: DataFrame, width: int = 60) -> DataFrame:
-    """(keys, category, term, context): the first place of each word that stands between other letters than a-z, with its surroundings."""
+    """(keys, category, term, as_written, context): the first place of each word that stands between other letters than a-z, with its surroundings.
+
+    ``words`` is a list of (category, term); its size decides whether it is broadcast.
+    """
     t = texts.select(*keys, F.col(text).alias("__t")).where("__t is not null")
     pattern = F.concat(F.lit("(?<![a-z])"), T.escaped(F.col("term")), F.lit("(?![a-z])"))
-    hit = t.join(F.broadcast(words), (F.instr(F.lower("__t"), F.col("term")) > 0) & F.regexp_like(F.lower("__t"), pattern))
+    hit = t.join(if_small(words), (F.instr(F.lower("__t"), F.col("term")) > 0) & F.regexp_like(F.lower("__t"), pattern))
     at = F.regexp_instr(F.lower("__t"), pattern)
     cut = F.substring(F.col("__t"), F.greatest(F.lit(1), at - width), F.least(at - 1, F.lit(width)) + F.length("term") + width)
-    return hit.select(*keys, "category", "term", F.trim(F.regexp_replace(cut, r"\s+", " ")).alias("context"))
+    written = F.substring(F.col("__t"), at, F.length("term"))
+    return hit.select(*keys, "category", "term", written.alias("as_written"), F.trim(F.regexp_replace(cut, r"\s+", " ")).alias("context"))
 
 
 def contradictions(requirements: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
-    """Rows whose title is a junior one while the text asks for more than one year; adds years."""
+    """Rows whose title is a junior one while the text asks for more than one year; adds years and the words that ask, as term."""
     years = F.regexp_extract(F.col(text), T.YEARS, 1)
-    return requirements.where(F.col(title).rlike(T.JUNIOR)).withColumn("years", F.when(years != "", years.cast("int"))).where("years > 1")
+    rows = requirements.where(F.col(title).rlike(T.JUNIOR)).withColumn("years", F.when(years != "", years.try_cast("int")))
+    return rows.where("years > 1").withColumn("term", F.regexp_extract(F.col(text), T.YEARS, 0))
+
+
+def contradiction_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings (keys, type, severity, term, excluded_count) of ``contradictions``: the gravest kind."""
+    return rows.select(*keys, F.lit("experience_contradiction").alias("type"), F.lit("high").alias("severity"), "term", F.lit(0).cast("bigint").alias("excluded_count"))
+
+
+def word_findings(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings of ``coded_words``, with the words as they are written."""
+    return words.select(*keys, F.lit("coded_language").alias("type"), F.lit("medium").alias("severity"), F.col("as_written").alias("term"), F.lit(0).cast("bigint").alias("excluded_count"))
 
 
 def narrow(scores: DataFrame, evidence: DataFrame, requirements: DataFrame, skills: DataFrame, tools: DataFrame, cohort: list[str], key: str = "stem", s: Settings = DEFAULT) -> DataFrame:
@@ -53,7 +68,7 @@ def narrow(scores: DataFrame, evidence: DataFrame, requirements: DataFrame, skil
     n = ranked.groupBy(*cohort).agg(F.count("*").alias("n"))
     k = F.greatest(F.lit(1), F.floor(F.col("n") * s.narrow_top)).cast("bigint")
     edge = ranked.join(n, cohort).where(F.col("rank") == k).select(*cohort, F.col("final_score").alias("edge"), F.greatest(F.lit(s.narrow_least), F.bround(F.col("n") * s.narrow_share, 0)).cast("bigint").alias("least"))
-    named = requirements.where("required").select("jd_id", "req_id", F.explode(F.array_distinct("keywords")).alias("skill")).join(F.broadcast(tools.select("skill").distinct()), "skill", "left_semi")
+    named = requirements.where("required").select("jd_id", "req_id", F.explode(F.array_distinct("keywords")).alias("skill")).join(if_small(tools.select("skill").distinct()), "skill", "left_semi")
     asked = named.groupBy("jd_id", "req_id").agg(F.array_sort(F.collect_set("skill")).alias("tools"))
     able = ranked.join(edge, cohort).where("final_score >= edge")
     out = evidence.where((F.col("kw_hit") == 0) & (T.number(F.col("sem_raw")) >= s.narrow_semantic)).select(*cohort, "jd_id", "req_id", key)

@@ -42,11 +42,23 @@ def deltas(flagged: DataFrame, pairs: DataFrame, cohort: list[str], key: str = "
     return pairs.join(ea, [*cohort, "a"]).join(eb, [*cohort, "b", "req_id"]).where("a_matched <> b_matched")
 
 
+def differences(deltas_: DataFrame, texts: DataFrame, cohort: list[str], most: int = 12) -> DataFrame:
+    """(cohort, a, b, pos, req_id, text, required, only): the first ``most`` deltas of each pair, required ones first, then by requirement.
+
+    texts: requirements (req_id and further columns in common, text); only: which of the two has evidence.
+    """
+    on = [c for c in texts.columns if c != "text"]
+    w = Window.partitionBy(*cohort, "a", "b").orderBy(F.desc_nulls_last("required"), F.asc("req_id"))
+    only = F.when(F.col("a_matched"), F.col("a")).otherwise(F.col("b"))
+    top = deltas_.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= most)
+    return top.join(texts, on, "left").select(*cohort, "a", "b", "pos", "req_id", "text", "required", only.alias("only"))
+
+
 def explanations(ranked: DataFrame, matched: DataFrame, missing: DataFrame, cohort: list[str], key: str = "stem", s: Settings = DEFAULT) -> DataFrame:
     """(cohort, key, rank, explanation) for the first ``explain_top`` of each cohort.
 
-    ranked: rank, final_score, keyword_score, semantic_score, covered, required_total, name; matched and missing as above, with text (the
-    requirement's). A gap in a required criterion that isn't a hard miss is called partial evidence.
+    ranked: rank, final_score, keyword_score, semantic_score (0 to 1, given as hundredths with one decimal), covered, required_total, name;
+    matched and missing as above, with text (the requirement's). Hard misses are named; for want of them, the other gaps.
     """
     head = ranked.where(F.col("rank") <= s.explain_top)
     ids = [*cohort, key]
@@ -54,19 +66,23 @@ def explanations(ranked: DataFrame, matched: DataFrame, missing: DataFrame, coho
     both = F.col("how") == "both channels"
     terms = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(both, F.col("kw_terms")))))), 1, 6)
     first = lambda cond: F.min_by(F.struct("text", "unit_text"), F.when(cond, F.col("pos")))
-    agg = m.groupBy(*ids).agg(terms.alias("terms"), first(F.col("how") == "semantic only").alias("sem"), first(both).alias("bo"), F.count_if(F.col("how") == "semantic only").alias("n_sem"), F.count_if(both).alias("n_both"))
+    agg = m.groupBy(*ids).agg(terms.alias("terms"), first(F.col("how") == "semantic only").alias("sem"), first(both).alias("bo"))
     miss = missing.join(head.select(*ids), ids, "left_semi")
     listed = lambda cond: F.transform(F.slice(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "text")))), 1, 3), lambda x: T.trimmed(x["text"]))
-    gaps = miss.groupBy(*ids).agg(listed(F.col("hard_miss")).alias("hard"), listed(~F.col("hard_miss") & F.col("required")).alias("part"), listed(~F.col("hard_miss") & ~F.col("required")).alias("soft"))
+    gaps = miss.groupBy(*ids).agg(listed(F.col("hard_miss")).alias("hard"), listed(~F.col("hard_miss")).alias("soft"))
     j = head.join(agg, ids, "left").join(gaps, ids, "left")
-    none = F.array().cast("array<string>")
-    p1 = F.format_string("%s ranks #%d with a final score of %.2f, covering %d of %d required criteria (keyword %.3f, semantic %.3f).", "name", "rank", "final_score", "covered", "required_total", F.coalesce("keyword_score", F.lit(0.0)), F.coalesce("semantic_score", F.lit(0.0)))
-    p2 = F.when(F.size(F.coalesce("terms", none)) > 0, F.concat(F.lit("Direct matches on "), T.joined(F.col("terms")), F.lit(", confirmed by both channels.")))
+    has = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    share = lambda c: F.round((F.coalesce(c, F.lit(0.0)) * 100).cast("decimal(28,8)"), 1).cast("decimal(28,1)").cast("string")
+    score = F.col("final_score").cast("decimal(28,2)").cast("string")
+    standing = F.concat(
+        F.lit("Rank "), F.col("rank").cast("string"), F.lit(": "), F.col("name"), F.lit(", score "), score, F.lit(", meets "), F.col("covered").cast("string"), F.lit(" of "), F.col("required_total").cast("string"),
+        F.lit(" required criteria (keyword "), share(F.col("keyword_score")), F.lit(", semantic "), share(F.col("semantic_score")), F.lit(")."),
+    )
+    direct = F.when(has("terms"), F.concat(F.lit("Both channels agree on "), T.joined(F.col("terms")), F.lit(".")))
     quoted = lambda c, n: F.concat(F.lit('"'), T.trimmed(c, n), F.lit('"'))
-    p3 = F.when((F.col("n_sem") > 0) & (F.coalesce("sem.unit_text", F.lit("")) != ""), F.concat(F.lit("Related work also speaks for "), quoted(F.col("sem.text"), 70), F.lit(": "), quoted(F.col("sem.unit_text"), 160), F.lit("."))).when(
-        (F.col("n_both") > 0) & (F.coalesce("bo.unit_text", F.lit("")) != ""), F.concat(F.lit("Supporting evidence: "), quoted(F.col("bo.unit_text"), 160), F.lit(".")))
-    has = lambda c: F.size(F.coalesce(c, none)) > 0
-    p4 = F.when(has("hard"), F.concat(F.lit("No evidence found for required criteria: "), T.joined(F.col("hard")), F.lit("."))).when(
-        has("part"), F.concat(F.lit("Partial evidence for required criteria: "), T.joined(F.col("part")), F.lit("."))).when(
-        has("soft"), F.concat(F.lit("Gaps are limited to preferred criteria: "), T.joined(F.col("soft")), F.lit("."))).otherwise(F.lit("No required criteria are unmet."))
-    return j.select(*ids, "rank", F.concat_ws(" ", p1, p2, p3, p4).alias("explanation"))
+    related = F.concat(F.lit("By meaning alone "), quoted(F.col("sem.text"), 70), F.lit(" is met: "), quoted(F.col("sem.unit_text"), 160), F.lit("."))
+    shown = F.when(filled("sem.unit_text"), related).when(filled("bo.unit_text"), F.concat(F.lit("For instance: "), quoted(F.col("bo.unit_text"), 160), F.lit(".")))
+    lacks = F.when(has("hard"), F.concat(F.lit("Required but without any evidence: "), T.joined(F.col("hard")), F.lit("."))).when(
+        has("soft"), F.concat(F.lit("Open points: "), T.joined(F.col("soft")), F.lit("."))).otherwise(F.lit("Nothing required is open."))
+    return j.select(*ids, "rank", F.concat_ws(" ", standing, direct, shown, lacks).alias("explanation"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
@@ -40,6 +40,12 @@ def rank_within(rows: DataFrame, cohort: list[str], score: str = "final_score",
     return numbered(rows, cohort, [F.col(score).desc_nulls_last(), F.col(then).asc_nulls_last()], name)
 
 
+def top_within(rows: DataFrame, cohort: list[str], most: int, score: str = "final_score", then: str = "stem", name: str = "rank") -> DataFrame:
+    """The first ``most`` of each cohort with their ranks, as of ``rank_within``; each task hands on no more than those of a cohort."""
+    w = Window.partitionBy(*cohort).orderBy(F.col(score).desc_nulls_last(), F.col(then).asc_nulls_last())
+    return rows.withColumn(name, F.row_number().over(w).cast("bigint")).where(F.col(name) <= most)
+
+
 def rerank(ranked: DataFrame, evidence: DataFrame, cohort: list[str], key: str = "stem", s: Settings = DEFAULT) -> DataFrame:
     """(cohort, key, rank, prior_rank, semantic_score, final_score, reranked).
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
+from rankloom.session import if_small, stored
 from rankloom.settings import DEFAULT, Settings
 
 
@@ -34,18 +35,21 @@ def bm25(pool: DataFrame, query: DataFrame, texts: DataFrame, cohort: str, key:
     (epsilon times the mean weight of all terms) are those of the cohort. Members without a query term score 0. bm25_norm is the min-max
     within the cohort, 0.5 where all are alike.
     """
-    tf = texts.select(key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    size = texts.select(key, F.size(T.tokens(F.col("text"))).alias("dl"))
+    # Texts are taken apart once.
+    tf = stored(texts.select(key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    size = tf.groupBy(key).agg(F.sum("tf").alias("dl"))
     members = pool.select(cohort, key).distinct().join(size, key, "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
     total = members.groupBy(cohort).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counts = members.select(cohort, key, "dl").join(tf, key)
-    df = counts.groupBy(cohort, "term").agg(F.count("*").alias("df"))
+    df = members.select(cohort, key).join(tf.select(key, "term"), key).groupBy(cohort, "term").agg(F.count("*").alias("df"))
     idf = df.join(total, cohort).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    idf = stored(idf.select(cohort, "term", "avgdl", "idf"))
     mean = idf.groupBy(cohort).agg(F.avg("idf").alias("mean_idf"))
     q = query.select(cohort, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(cohort, "term").agg(F.count("*").alias("qtf"))
     weight = q.join(idf, [cohort, "term"]).join(mean, cohort)
-    weight = weight.select(cohort, "term", "qtf", "avgdl", F.when(F.col("idf") < 0, s.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))
-    hit = counts.join(weight, [cohort, "term"])
+    weight = stored(weight.select(cohort, "term", "qtf", "avgdl", F.when(F.col("idf") < 0, s.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("w")))
+    # Only the counts of terms that some query has are joined with the members.
+    asked = tf.join(if_small(weight.select("term").distinct()), "term", "left_semi")
+    hit = members.select(cohort, key, "dl").join(asked, key).join(weight, [cohort, "term"])
     part = F.col("qtf") * F.col("w") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy(cohort, key).agg(F.sum(part).alias("bm25"))
     full = members.select(cohort, key).join(scored, [cohort, key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))

@@ -2,27 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from rankloom.functions import text as T
 from rankloom.settings import DEFAULT, Settings
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Dot product of two arrays of numbers, in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Query vectors that are sent to the units at a time; more are taken in turns.
+BLOCK = 8192
 
 
-def similarities(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, key, unit_idx, sim) of every query vector and unit vector.
+def best_similarities(queries: DataFrame, units: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(query_id, key, unit_idx, sim): of every query and key at least the ``top_units`` best units, of each Arrow batch no more than those.
 
-    queries: (query_id, q), a stated set against all units: (key, unit_idx, v). The query side is grouped into one array of vectors a block, so
-    each unit meets whole blocks instead of single rows.
+    queries: (query_id, q), a stated set against all units: (key, unit_idx, v). A block of queries, at most BLOCK vectors, meets a batch of units in one
+    matrix product in double precision. Null vectors meet none.
     """
-    blocks = queries.groupBy((F.pmod(F.xxhash64("query_id"), F.lit(8))).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    met = units.crossJoin(F.broadcast(blocks)).select("key", "unit_idx", "v", F.explode("qs").alias("x"))
-    return met.select(F.col("x.query_id").alias("query_id"), "key", "unit_idx", dot(F.col("x.q"), F.col("v")).alias("sim"))
+    spark = units.sparkSession
+    ids = queries.where("q is not null").select("query_id", F.transform("q", lambda x: x.cast("double")).alias("q"))
+    kind, key_kind, unit_kind = (f.dataType.simpleString() for f in (queries.schema["query_id"], units.schema["key"], units.schema["unit_idx"]))
+    out = f"query_id {kind}, key {key_kind}, unit_idx {unit_kind}, sim double"
+    schema = to_arrow_schema(_parse_datatype_string(out))
+    top = s.top_units
+
+    def against(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, matrix = sent.value
+            for batch in batches:
+                n = batch.num_rows
+                v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+                sims = v @ matrix.T
+                _, group = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
+                # Of each key the best rows for each query, the first unit on ties.
+                unit = np.array(batch.column(1).to_pylist())
+                for q in range(len(names)):
+                    order = np.lexsort((unit, -sims[:, q], group))
+                    g = group[order]
+                    begin = np.r_[True, g[1:] != g[:-1]]
+                    place = np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))
+                    kept = pa.array(order[place < top])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([names[q]] * len(kept), schema.field(0).type), batch.column(0).take(kept), batch.column(1).take(kept), pa.array(sims[order[place < top], q])], schema=schema
+                    )
+
+        return run
+
+    rows, found = ids.toLocalIterator(), None
+    while block := list(islice(rows, BLOCK)):
+        sent = spark.sparkContext.broadcast(([r[0] for r in block], np.array([r[1] for r in block])))
+        part = units.where("v is not null").select("key", "unit_idx", "v").mapInArrow(against(sent), out)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else spark.createDataFrame([], out)
 
 
 def pool_units(sims: DataFrame, s: Settings = DEFAULT) -> DataFrame:

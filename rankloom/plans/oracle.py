@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.functions.text import DATES, SECTIONS, STOP_WORDS
+from rankloom.functions.text import DATES, JUNIOR, SECTIONS, STOP_WORDS, YEARS
 from rankloom.operators.audit import LEXICON
-from rankloom.plans.queries import FAMILIES
+from rankloom.operators import describe as D
+from rankloom.plans.queries import FAMILIES, TARGETS, TOOLS
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z0-9+#.]+'), lambda x: len(x) > 1 and not list_contains([{_STOP}], x))"
@@ -70,7 +71,7 @@ select run_id, stem, b, case when hi - lo <= 1e-9 then 0.5 else (b - lo) / (hi -
 _NARROW = f"""(with rk as (select run_id, stem, final_score, rank, count(*) over (partition by run_id) n from {_RANKED} where final_score is not null),
 ed as (select run_id, final_score edge, greatest(2, round_even(n * 0.15, 0))::bigint least from rk where rank = greatest(1, floor(n * 0.35))),
 ab as (select run_id, stem, least from rk join ed using (run_id) where final_score >= edge),
-nm as (select jd_id, req_id, list_sort(list(distinct k)) tools from (select jd_id, req_id, lower(trim(unnest(keywords), ' ')) k from ({_REQ}) where required) where k in (select skill from skills where not contains(skill, ' ')) group by all),
+nm as (select jd_id, req_id, list_sort(list(distinct k)) tools from (select jd_id, req_id, lower(trim(unnest(keywords), ' ')) k from ({_REQ}) where required) where k in (select skill from skills where category in {TOOLS}) group by all),
 sh as (select e.run_id, e.req_id, e.stem, least, tools from (select distinct run_id, jd_id, req_id, stem from ({_EV}) where kw_hit = 0 and {_RAW} >= 0.62) e join ab using (run_id, stem) join nm using (jd_id, req_id)),
 ct as (select run_id, req_id, count(*) excluded_count, any_value(tools) tools, any_value(least) least from sh group by run_id, req_id having count(*) >= any_value(least)),
 sk as (select distinct stem, lower(trim(unnest(skills), ' ')) skill from ({_CAND})),
@@ -88,7 +89,7 @@ def _ndcg(rows: str, groups: str, score: str) -> str:
 select {groups}, case when sum(grade / log2(q + 1.0)) filter (q <= 10) = 0 then 0.0 else sum(grade / log2(p + 1.0)) filter (p <= 10) / sum(grade / log2(q + 1.0)) filter (q <= 10) end ndcg from g group by {groups})"""
 
 
-_GRID = """(select row_number() over (order by a, b, c) - 1 config_id, a / 10.0 w_kw, b / 100.0 penalty, c / 10.0 floor_ from (select unnest(range(1, 10)) a), (select unnest([0, 6, 12, 18, 24]) b), (select unnest([4, 5, 6]) c))"""
+_GRID = """(select row_number() over (order by a, b, c) - 1 config_id, a / 100.0 w_kw, b / 100.0 penalty, c / 10.0 floor_ from (select unnest(range(30, 71, 5)) a), (select unnest([0, 6, 12, 18, 25]) b), (select unnest([4, 5, 6]) c))"""
 _RERANK = f"""(with r as (select * from {_RANKED}),
 ce as (select run_id, stem, avg(1 / (1 + exp(-ce_score))) ce from ({_EV}) where required and coalesce(unit_text, '') <> '' and {_CE} is not null and (run_id, stem) in (select run_id, stem from r where rank <= 10) group by all),
 m as (select run_id, stem, keyword_score, n_hard_miss, rank prior_rank, ce is not null reranked, case when ce is null then semantic_score else 0.5 * coalesce(semantic_score, 0) + 0.5 * ce end semantic_score from r left join ce using (run_id, stem)),
@@ -96,6 +97,57 @@ f as (select *, {_FINAL} final_score from m)
 select run_id, stem, row_number() over (partition by run_id order by final_score desc nulls last, prior_rank) rank, prior_rank, final_score, reranked from f)"""
 
 
+_ABLATION = "(select row_number() over (order by w_kw) - 1 config_id, w_kw, 0.12 penalty, 0.5 floor_ from (select unnest([0.0, 0.5, 1.0]) w_kw))"
+_TARGETED = ", ".join(f"('{t}', '{a}', '{b}')" for t, (a, b) in TARGETS.items())
+_WITH_FAMILY = f"(select r.*, family = target hit, family = close near from {_RANKED} r join (select distinct run_id, title from runs) using (run_id) join (values {_TARGETED}) t(title, target, close) using (title) join (select stem, case {_FAMILY} else 'unknown' end family from (select distinct stem, trim(regexp_replace(regexp_replace(lower(stem), '[_-]+', ' ', 'g'), ' +', ' ', 'g')) s from candidates)) using (stem))"
+
+
+def _related(grade: str) -> str:
+    value = "hit::int" if grade == "strict" else "case when hit then 2 when near then 1 else 0 end"
+    return f"(select *, {value} grade from {_WITH_FAMILY})"
+
+
+def _configured(grade: str, grid: str) -> str:
+    return f"(select *, round((w_kw * coalesce(keyword_score, 0) + (1 - w_kw) * coalesce(semantic_score, 0)) * greatest(floor_, 1 - penalty * n_hard_miss), 9) sc from {_related(grade)}, {grid})"
+
+
+def _share(value: str, digits: int, by: int) -> str:
+    return f"round(cast(case when not isnan({value}) then {value} end * {by} as decimal(28, 8)), {digits})::double"
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_BULLET_SQL = "^\\s*(?:[-*]\\s+|[•●▪‣]\\s*)"
+_BODY = f"(select *, trim(regexp_replace(line, '{_BULLET_SQL}', ''), ' ') t from {_SECTIONED} where sec is null and section not in ('education', 'certifications', 'achievements'))"
+_UNITS = f"""(with p as (select stem, line_no, section, generate_subscripts(l, 1) a, unnest(l) t from (select stem, line_no, section, case when len(t) > 400 then string_split(regexp_replace(t, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) else [t] end l from {_BODY} where len(t) >= 25 and not ({_NOISE.format(t='t')}))),
+w as (select stem, line_no, section, a, generate_subscripts(l, 1) b, trim(unnest(l), ' ') t from (select *, regexp_extract_all(trim(t, ' '), '(?s)\\s*(?:.{{1,400}}$|.{{1,399}} |.{{400}})') l from p)),
+f as (select stem, section, min(line_no) first_ from {_SECTIONED} group by all)
+select w.*, first_ from w join f using (stem, section) where len(t) >= 25)"""
+_NAME_LINES = f"""(select stem, line_no, case when upper(t) = t then array_to_string(list_transform(regexp_extract_all(lower(t), '\\p{{L}}+|[^\\p{{L}}]+'), lambda x: upper(x[1]) || x[2:]), '') else t end name from (select *, trim(line, ' ') t, regexp_split_to_array(trim(replace(trim(line, ' '), '.', ''), ' '), '\\s+') ws from {_SECTIONED} where line_no < 6)
+where t <> '' and len(t) <= 45 and not regexp_matches(t, '[\\pL\\pN_.+-]+@[\\pL\\pN_-]+\\.[\\pL\\pN_.]+') and not regexp_matches(t, '\\+?\\d[\\d\\s\\-()]{{7,}}\\d') and not regexp_matches(t, '(?i)https?://\\S+|(?:www\\.|linkedin\\.com|github\\.com)') and sec is null
+and len(ws) between 2 and 4 and len(list_filter(ws, lambda w: not regexp_full_match(replace(w, '-', ''), '\\p{{L}}+'))) = 0)"""
+_NAMES = f"""(select stem, coalesce(name, case when len(ws) >= 2 then array_to_string(list_transform(ws, lambda w: upper(w[1]) || lower(w[2:])), ' ') else stem end) name from (
+select *, list_filter(regexp_split_to_array(list_extract(regexp_split_to_array(stem, '(?i)resume|_\\d+_|__'), -1), '[_\\s-]+'), lambda w: regexp_full_match(w, '\\p{{L}}{{2,}}')) ws from (select distinct stem from candidates)) left join (select stem, arg_min(name, line_no) name from {_NAME_LINES} group by stem) using (stem))"""
+_NAMES_READ = f"(select stem, truth, name got from (select stem, max(name) truth from candidates where trim(name, ' ') <> '' group by stem) join {_NAMES} using (stem))"
+_POSTS = "(select distinct doc_id, text from documents where doc_kind = 'job_post')"
+_POST_LINES = f"""(select doc_id, line_no, line from (select *, sum(contains(line, '<!--')::int) over (partition by doc_id order by line_no) opened, coalesce(sum(contains(line, '-->')::int) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) closed
+from (select doc_id, unnest(range(len(l))) line_no, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from {_POSTS} where text is not null))) where opened <= closed)"""
+_HEAD_OF = _HEADER.replace("line", "t")
+_PARSED = f"""(with l as (select doc_id, line_no, trim(line, ' ') t from {_POST_LINES}),
+p as (select *, trim(regexp_replace(t, '^[#*\\s]+|[*:\\s]+$', '', 'g'), ' ') plain, regexp_replace(trim(t, ' '), '^:+|:+$', '', 'g') s from l),
+h as (select *, coalesce(t like '#%' or (case {_CASES.replace(' h in', ' hh in')} end) is not null or (upper(plain) = plain and regexp_matches(plain, '\\p{{Lu}}') and len(regexp_split_to_array(plain, '\\s+')) between 2 and 5
+  and (regexp_matches(plain, '{_q(D.REQUIRED_HEAD)}') or regexp_matches(plain, '{_q(D.PREFERRED_HEAD)}') or regexp_matches(plain, '{_q(D.DUTY)}'))), false) is_head from (select *, {_HEAD_OF} hh from p)),
+m as (select *, case when is_head then case when regexp_matches(plain, '{_q(D.PREFERRED_HEAD)}') then false when regexp_matches(plain, '{_q(D.REQUIRED_HEAD)}') then true end end mode,
+  case when is_head then case when regexp_matches(plain, '{_q(D.DUTY)}') then 'responsibility' when regexp_matches(plain, '{_q(D.QUALIFICATION)}') then 'qualification' else 'skill' end end kind_ from h),
+f as (select *, coalesce(last_value(mode ignore nulls) over w, true) sect, coalesce(last_value(case when is_head then mode is not null end ignore nulls) over w, false) explicit_, coalesce(last_value(kind_ ignore nulls) over w, 'skill') kind from m window w as (partition by doc_id order by line_no rows unbounded preceding)),
+b as (select doc_id, line_no, kind, sect, explicit_, trim(regexp_replace(t, '{_BULLET_SQL}', ''), ' ') text from f where not is_head and regexp_matches(t, '{_BULLET_SQL}')),
+o as (select *, row_number() over (partition by doc_id, lower(text) order by line_no) n from b where len(text) >= 10 and not regexp_matches(text, '{_q(D.OFFER)}')),
+r as (select *, row_number() over (partition by doc_id order by line_no) i from o where n = 1)
+select doc_id, (i - 1)::int req_idx, printf('R%02d', i) req_id, text, kind, case when explicit_ then sect when regexp_matches(text, '{_q(D.PREFERRED_LINE)}') then false when regexp_matches(text, '{_q(D.REQUIRED_LINE)}') then true else sect end required from r)"""
+
+
 def oracle() -> dict[str, str]:
     near = f"(select a.run_id, a.stem a, b.stem b from {_RANKED} a join {_RANKED} b on a.run_id = b.run_id and b.rank = a.rank + 1)"
     return {
@@ -132,10 +184,39 @@ def oracle() -> dict[str, str]:
         "neighbour_deltas": f"select n.run_id, n.a, n.b, x.req_id, x.matched a_matched, y.matched b_matched from {near} n join {_FLAGGED} x on x.run_id = n.run_id and x.stem = n.a join {_FLAGGED} y on y.run_id = n.run_id and y.stem = n.b and y.req_id = x.req_id where x.matched <> y.matched",
         "narrow_requirements": f"select * from {_NARROW}",
         "coded_words": f"select * from {_CODED}",
-        "findings": f"""select subject, type, severity, term, excluded_count from (select *, row_number() over (partition by subject, type, lower(term) order by case severity when 'high' then 0 else 1 end, -excluded_count, term) n from (
-            select 'doc ' || doc_id subject, 'coded_language' "type", case when category in ('exclusionary', 'gendered_pronouns') then 'high' else 'medium' end severity, term, 0 excluded_count from {_CODED}
-            union all select 'run ' || run_id, 'overly_narrow', 'medium', tools, excluded_count from {_NARROW})) where n = 1""",
-        "rescued_by_semantics": f"select run_id, stem from {_RANKED} where rank <= 5 and (run_id, stem) not in (select run_id, stem from (select run_id, stem, row_number() over (partition by run_id order by keyword_score desc nulls last, stem) n from {_RANKED}) where n <= 5)",
+        "listed_words": f"""select jd_id, req_id, category, term, substr(text, at_, len(term)) as_written,
+            trim(regexp_replace(substr(text, greatest(1, at_ - 60), least(at_ - 1, 60) + len(term) + 60), '\\s+', ' ', 'g')) context from (
+            select *, len(regexp_extract(lower(text), '^((?s).*?(?:^|[^a-z]))' || term || '(?:$|[^a-z])', 1)) + 1 at_ from (select distinct jd_id, req_id, text from ({_REQ})), (select category, skill term from skills)
+            where contains(lower(text), term) and regexp_matches(lower(text), '(^|[^a-z])' || term || '($|[^a-z])'))""",
+        "findings": f"""select run_id, type, severity, term, excluded_count from (select *, row_number() over (partition by run_id, type, lower(term) order by case severity when 'high' then 0 else 1 end, -excluded_count, term) n from (
+            select run_id, 'coded_language' "type", 'medium' severity, regexp_extract(text, '(?i)(?:^|[^a-z])(' || w.term || ')(?:$|[^a-z])', 1) term, 0 excluded_count from (select distinct run_id, jd_id from runs) join (select distinct jd_id, text from ({_REQ})) using (jd_id), (values {_WORDS}) w(category, term)
+            where regexp_matches(lower(text), '(^|[^a-z])' || w.term || '($|[^a-z])')
+            union all select run_id, 'experience_contradiction', 'high', regexp_extract(text, '{YEARS}', 0), 0 from (select distinct run_id, jd_id, title from runs) join ({_REQ}) using (jd_id) where regexp_matches(title, '{JUNIOR}') and try_cast(nullif(regexp_extract(text, '{YEARS}', 1), '') as int) > 1
+            union all select run_id, 'overly_narrow', 'medium', tools, excluded_count from {_NARROW})) where n = 1""",
+        "rescued_by_semantics": f"select run_id, stem from {_RANKED} where rank <= 20 and (run_id, stem) not in (select run_id, stem from (select run_id, stem, row_number() over (partition by run_id order by keyword_score desc nulls last, stem) n from {_RANKED}) where n <= 20)",
+        "family_ndcg": f"select run_id, round(a.ndcg, 6) strict, round(b.ndcg, 6) graded from {_ndcg(_related('strict'), 'run_id', 'final_score')} a join {_ndcg(_related('graded'), 'run_id', 'final_score')} b using (run_id)",
+        "best_weights": f"""select row_number() over (order by strict desc, config_id) rank, config_id, w_kw::double w_kw, penalty::double penalty, floor_::double floor, strict, graded from {_GRID} join (
+            select config_id, round(avg(a.ndcg), 6) strict, round(avg(b.ndcg), 6) graded from {_ndcg(_configured('strict', _GRID), 'config_id, run_id', 'sc')} a join {_ndcg(_configured('graded', _GRID), 'config_id, run_id', 'sc')} b using (config_id, run_id) group by config_id) using (config_id)
+            qualify rank <= 8""",
+        "channel_ablation": f"""select w_kw::double w_kw, round(avg(a.ndcg), 6) strict, round(avg(b.ndcg), 6) graded from {_ABLATION} join {_ndcg(_configured('strict', _ABLATION), 'config_id, run_id', 'sc')} a using (config_id) join {_ndcg(_configured('graded', _ABLATION), 'config_id, run_id', 'sc')} b using (config_id, run_id) group by w_kw""",
+        "parser_validation": f"""select count(*) n, round(avg("precision"), 6) mean_precision, round(avg(recall), 6) mean_recall, (select count(*) filter (lower(trim(truth, ' ')) = lower(trim(got, ' '))) from {_NAMES_READ}) names_equal, (select count(*) from {_NAMES_READ}) names_total from (
+            with t as (select stem, list(canon) l from {_ALIAS} group by stem), g as (select stem, list(canon) m from {_VOCAB_HITS} group by stem)
+            select round(len(list_intersect(coalesce(l, []), coalesce(m, []))) / nullif(len(coalesce(m, [])), 0), 6) "precision", round(len(list_intersect(coalesce(l, []), coalesce(m, []))) / nullif(len(coalesce(l, [])), 0), 6) recall from t full join g using (stem))""",
+        "names_read": f"select stem, truth, got from {_NAMES_READ}",
+        "candidate_names": f"select stem, name from {_NAMES}",
+        "candidate_units": f"select stem, row_number() over (partition by stem order by first_, line_no, a, b) - 1 unit_idx, t text, section from {_UNITS}",
+        "visible_lines": f"select doc_id, line_no from {_POST_LINES} where len(trim(line, ' ')) > 0",
+        "parsed_requirements": f"""select doc_id, r.req_idx, r.req_id, r.text, kind, required, coalesce(keywords, '') keywords, case when required then 1.0 else 0.5 end::double weight from {_PARSED} r left join (
+            select doc_id, req_id, array_to_string(list(canon order by n desc, t), '|') keywords from (select doc_id, req_id, canon, max(len(term)) n, arg_max(term, (len(term), 0)) t from {_PARSED}, vocab where {_TERM.format(t='lower(text)', v='lower(term)')} group by all) group by all) k using (doc_id, req_id)""",
+        "parsed_titles": f"""select d.doc_id, coalesce(trim(split_part(case when swap then b else a end, '|', 1), ' '), d.doc_id::varchar) title, coalesce(trim(split_part(case when swap then a else coalesce(b, '') end, '|', 1), ' '), '') company from {_POSTS} d left join (
+            select *, coalesce(regexp_matches(b, '{_q(D.ROLE)}') and not regexp_matches(a, '{_q(D.ROLE)}'), false) swap from (select doc_id, max(t) filter (j = 1) a, max(t) filter (j = 2) b from (
+            select doc_id, t, row_number() over (partition by doc_id order by line_no) j from (select doc_id, line_no, trim(regexp_replace(line, '[#*]', '', 'g'), ' ') t, row_number() over (partition by doc_id order by line_no) i from {_POST_LINES}) where i <= 12 and t <> '') group by doc_id)) using (doc_id)""",
+        "compared_leaders": f"""select run_id, a, b, pos, req_id, text, required, case when am then a else b end "only" from (select *, row_number() over (partition by run_id, a, b order by required desc nulls last, req_id) pos from (
+            select n.run_id, n.a, n.b, x.req_id, x.required, x.jd_id, x.matched am from (select a.run_id, a.stem a, b.stem b from {_RANKED} a join {_RANKED} b on a.run_id = b.run_id and a.rank = 1 and b.rank = 2) n
+            join {_FLAGGED} x on x.run_id = n.run_id and x.stem = n.a join {_FLAGGED} y on y.run_id = n.run_id and y.stem = n.b and y.req_id = x.req_id where x.matched <> y.matched)) left join (select distinct run_id, req_id, text from (select distinct run_id, jd_id from runs) join ({_REQ}) using (jd_id)) using (run_id, req_id) where pos <= 12""",
+        "artifact_candidates": f"""with s as (select distinct run_id, stem, bm25_norm, explanation, explanation_source from scores), c as (select run_id, stem, count(*) n_cells from {_FLAGGED} group by all)
+            select run_id, rank, stem, final_score, {_share('keyword_score', 2, 100)} keyword_score, {_share('semantic_score', 2, 100)} semantic_score, {_share('(semantic_score - keyword_score)', 2, 100)} delta, {_share('bm25_norm', 3, 1)} bm25, concat_ws('/', covered, required_total) required_coverage, n_hard_miss::bigint hard_misses, coalesce(n_cells, 0) n_cells
+            from {_RANKED} join s using (run_id, stem) left join c using (run_id, stem)""",
         "skill_overlap": f"""with t as (select stem, list(canon) l from {_ALIAS} group by stem), g as (select stem, list(canon) m from {_VOCAB_HITS} group by stem)
             select stem, round(len(list_intersect(coalesce(l, []), coalesce(m, []))) / nullif(len(coalesce(m, [])), 0), 6) "precision", round(len(list_intersect(coalesce(l, []), coalesce(m, []))) / nullif(len(coalesce(l, [])), 0), 6) recall from t full join g using (stem)""",
         "ndcg_by_run": f"select run_id, round(ndcg, 6) ndcg from {_ndcg(_GRADED, 'run_id', 'final_score')}",

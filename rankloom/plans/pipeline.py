@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators import describe, encode, explain, fuse, ingest, lexical, semantic
-from rankloom.session import cut
+from rankloom.session import cut, if_small
 from rankloom.settings import DEFAULT, Settings
 
 
@@ -21,11 +21,11 @@ def rank(candidates: DataFrame, descriptions: DataFrame, vocab: DataFrame, encod
     lines = ingest.with_sections(ingest.lines_of(pool, "stem", "raw_text"), "stem")
     units = cut(encode.encode(ingest.split_units(lines, "stem", s), make=encoder))
     skills = ingest.match_vocabulary(pool, "stem", "raw_text", vocab).select("stem", F.col("canon").alias("skill"))
-    pairs = pool.select("stem").crossJoin(F.broadcast(descriptions.select("jd_id").distinct()))
+    pairs = pool.select("stem").crossJoin(if_small(descriptions.select("jd_id").distinct()))
     hits = lexical.keyword_hits(pairs, req, skills, pool.select("stem", F.col("raw_text").alias("text")))
     q = encode.encode(req.select("jd_id", "req_id", "text"), make=encoder)
     qs = q.select(F.concat_ws("/", "jd_id", "req_id").alias("query_id"), F.col("vector").alias("q"))
-    pooled = semantic.pool_units(semantic.similarities(qs, units.select(F.col("stem").alias("key"), "unit_idx", F.col("vector").alias("v"))), s)
+    pooled = semantic.pool_units(semantic.best_similarities(qs, units.select(F.col("stem").alias("key"), "unit_idx", F.col("vector").alias("v"))), s)
     best = pooled.join(units.select(F.col("stem").alias("key"), F.col("unit_idx").alias("best_unit"), F.col("text").alias("unit_text"), F.col("section").alias("unit_section")), ["key", "best_unit"], "left")
     best = best.select(F.split("query_id", "/")[0].alias("jd_id"), F.element_at(F.split("query_id", "/"), -1).alias("req_id"), F.col("key").alias("stem"), "raw", "unit_text", "unit_section")
     cells = hits.join(best, ["jd_id", "req_id", "stem"], "left").withColumn("sem_raw", F.coalesce("raw", F.lit(0.0))).drop("raw")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import text as T
-from rankloom.operators import ask, audit, evaluate, explain, fuse, ingest, lexical, semantic
+from rankloom.operators import ask, audit, describe, evaluate, explain, fuse, ingest, lexical, semantic
+from rankloom.session import if_small
+from rankloom.sources import artifact
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +18,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 RUN = ["run_id"]
 #: Families of the test table's stems, in order; a parameter like any pattern list.
 FAMILIES = [(f, (f,)) for f in ("archive_care", "clinic_admin", "data_steward", "fleet_routing", "grant_office", "harbour_desk", "kiln_ops", "museum_reg", "payroll", "tariff_desk", "textile_buy", "turbine_tech")]
+#: Categories of skills that name a tool; a parameter like the families.
+TOOLS = ("platforms", "registers", "reporting tools", "trackers", "workshop software")
+#: Family that a description looks for, by its title, and families close to it, which count half.
+TARGETS = {
+    "Archive Assistant": ("archive_care", "museum_reg"), "Clinic Scheduler": ("clinic_admin", "payroll"), "Data Steward": ("data_steward", "archive_care"), "Ferry Dispatcher": ("fleet_routing", "harbour_desk"),
+    "Grant Officer": ("grant_office", "payroll"), "Harbour Clerk": ("harbour_desk", "tariff_desk"), "Kiln Supervisor": ("kiln_ops", "turbine_tech"), "Museum Registrar": ("museum_reg", "archive_care"),
+    "Tariff Specialist": ("tariff_desk", "textile_buy"), "Turbine Technician": ("turbine_tech", "kiln_ops"),
+}
 QUESTIONS = [(1, "Why is Bogdan Zipopasarn ranked above Kwame Heropreleld?"), (2, "What about Zofia?"), (3, "Tell me about James Smith and Nadia Farah")]
 
 
@@ -89,7 +99,37 @@ def candidate_units(spark, d):
 
 
 def candidate_names(spark, d):
-    return ingest.display_name(ingest.lines_of(_candidates(spark, d, "raw_text"), "stem", "raw_text"), "stem")
+    return ingest.names_of(_candidates(spark, d, "raw_text"), "stem", "raw_text")
+
+
+def fuzzy_sections(spark, d):
+    """Headings that are misspelled, and what they stand for."""
+    lines = ingest.fuzzy_headers(ingest.lines_of(_candidates(spark, d, "raw_text"), "stem", "raw_text"), "stem")
+    return lines.where(F.col("is_header") & T.section_of(T.plain_header(F.col("line"))).isNull()).select("stem", "line_no", "line", "section")
+
+
+def candidate_skills(spark, d):
+    """Skills named anywhere in a text or, misspelled, in its skill section."""
+    return ingest.all_skills(_candidates(spark, d, "raw_text"), "stem", "raw_text", table(spark, d, "vocab", "term", "canon"))
+
+
+def _posts(spark, d):
+    return table(spark, d, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'job_post'").select("doc_id", "text").distinct()
+
+
+def visible_lines(spark, d):
+    """Filled lines of job posts outside comments."""
+    return describe.visible_lines(_posts(spark, d), "doc_id", "text").where(F.length(F.trim("line")) > 0).select("doc_id", "line_no")
+
+
+def parsed_requirements(spark, d):
+    """Requirements taken from the bullets of job posts."""
+    out = describe.requirements(_posts(spark, d), table(spark, d, "vocab", "term", "canon"), "doc_id")
+    return out.select("doc_id", "req_idx", "req_id", "text", "kind", "required", F.array_join("keywords", "|").alias("keywords"), "weight")
+
+
+def parsed_titles(spark, d):
+    return describe.titles(_posts(spark, d), "doc_id").select("doc_id", "title", "company")
 
 
 def stem_families(spark, d):
@@ -109,7 +149,7 @@ def requirement_keywords(spark, d):
 def alias_lookup(spark, d):
     vocab = table(spark, d, "vocab", "term", "canon").select(F.lower("term").alias("term"), "canon").distinct()
     rows = _skills(spark, d).select("stem", F.lower(F.trim("skill")).alias("term")).distinct()
-    return rows.join(F.broadcast(vocab), "term").select("stem", "canon").distinct()
+    return rows.join(if_small(vocab), "term").select("stem", "canon").distinct()
 
 
 def fuzzy_skills(spark, d):
@@ -147,7 +187,7 @@ def similar_vectors(spark, d):
     e = table(spark, d, "embeddings", "vec_id", "embedding")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     u = e.select((F.col("vec_id") % 25).alias("key"), F.col("vec_id").alias("unit_idx"), F.col("embedding").alias("v"))
-    return semantic.pool_units(semantic.similarities(q, u)).select("query_id", "key", F.round("raw", 6).alias("raw"), "best_unit")
+    return semantic.pool_units(semantic.best_similarities(q, u)).select("query_id", "key", F.round("raw", 6).alias("raw"), "best_unit")
 
 
 def calibrated(spark, d):
@@ -161,7 +201,7 @@ def semantic_channel(spark, d):
 
 
 def _flagged(spark, d, *columns):
-    return fuse.flags(_evidence(spark, d, "required", "kw_hit", "kw_terms", "sem_raw", "sem_cal", "unit_text", "ce_score", *columns))
+    return fuse.flags(_evidence(spark, d, "required", "kw_hit", "sem_cal", *columns))
 
 
 def required_coverage(spark, d):
@@ -169,10 +209,13 @@ def required_coverage(spark, d):
     return c.select("run_id", "stem", "n_hard_miss", "covered", "required_total", F.round(fuse.gate(F.col("n_hard_miss")), 6).alias("factor"))
 
 
-def _ranked(spark, d):
+def _scored(spark, d):
     s = _scores(spark, d)
-    s = s.withColumn("final_score", fuse.final_score(F.col("keyword_score"), F.col("semantic_score"), F.col("n_hard_miss")))
-    return fuse.rank_within(s, RUN)
+    return s.withColumn("final_score", fuse.final_score(F.col("keyword_score"), F.col("semantic_score"), F.col("n_hard_miss")))
+
+
+def _ranked(spark, d):
+    return fuse.rank_within(_scored(spark, d), RUN)
 
 
 def final_ranks(spark, d):
@@ -181,7 +224,7 @@ def final_ranks(spark, d):
 
 def leaderboard(spark, d):
     """The first 15 of each run with the columns a reader needs."""
-    return _ranked(spark, d).where("rank <= 15").select("run_id", "rank", "stem", "final_score", F.format_string("%d/%d", "covered", "required_total").alias("coverage"))
+    return fuse.top_within(_scored(spark, d), RUN, 15).select("run_id", "rank", "stem", "final_score", F.format_string("%d/%d", "covered", "required_total").alias("coverage"))
 
 
 def reranked(spark, d):
@@ -190,7 +233,7 @@ def reranked(spark, d):
 
 
 def score_spread(spark, d):
-    return _ranked(spark, d).groupBy("run_id").agg(F.min("final_score").alias("lowest"), F.max("final_score").alias("highest"), F.round(F.max("final_score") - F.min("final_score"), 6).alias("spread"))
+    return _scored(spark, d).groupBy("run_id").agg(F.min("final_score").alias("lowest"), F.max("final_score").alias("highest"), F.round(F.max("final_score") - F.min("final_score"), 6).alias("spread"))
 
 
 def matched_top8(spark, d):
@@ -218,7 +261,7 @@ def neighbour_deltas(spark, d):
 def narrow_requirements(spark, d):
     req = _requirements(spark, d).select("jd_id", "req_id", "required", F.transform("keywords", lambda k: F.lower(F.trim(k))).alias("keywords"))
     skills = _skills(spark, d).select("stem", F.lower(F.trim("skill")).alias("skill"))
-    tools = table(spark, d, "skills", "skill").where(~F.col("skill").contains(" "))
+    tools = table(spark, d, "skills", "skill", "category").where(F.col("category").isin(*TOOLS))
     out = audit.narrow(_ranked(spark, d), _evidence(spark, d, "kw_hit", "sem_raw"), req, skills, tools, RUN)
     return out.select("run_id", "req_id", F.array_join("tools", ",").alias("tools"), "excluded_count", F.array_join("alternatives_used", ",").alias("alternatives"))
 
@@ -228,16 +271,29 @@ def coded_words(spark, d):
     return audit.coded_words(docs, ["doc_id"], "text", audit.lexicon(spark)).select("doc_id", "category", "term")
 
 
+def listed_words(spark, d):
+    """The same operator over requirements, with the skills by category as the list of words."""
+    words = table(spark, d, "skills", "category", "skill").select("category", F.col("skill").alias("term"))
+    return audit.coded_words(_requirements(spark, d).select("jd_id", "req_id", "text"), ["jd_id", "req_id"], "text", words).select("jd_id", "req_id", "category", "term", "as_written", "context")
+
+
+def _findings(spark, d):
+    jobs = _distinct(spark, d, "runs", "run_id", "jd_id", "title")
+    req = _requirements(spark, d).select("jd_id", "text")
+    words = audit.word_findings(audit.coded_words(req.distinct(), ["jd_id"], "text", audit.lexicon(spark)), ["jd_id"]).join(jobs.select("run_id", "jd_id"), "jd_id").drop("jd_id")
+    years = audit.contradiction_findings(audit.contradictions(req.join(jobs, "jd_id")), RUN)
+    narrow = narrow_requirements(spark, d).select("run_id", F.lit("overly_narrow").alias("type"), F.lit("medium").alias("severity"), F.col("tools").alias("term"), "excluded_count")
+    return audit.findings([words, years, narrow], RUN)
+
+
 def findings(spark, d):
-    """Wording findings and narrow criteria of all runs and documents, each once."""
-    words = coded_words(spark, d).select(F.concat(F.lit("doc "), "doc_id").alias("subject"), F.lit("coded_language").alias("type"), F.when(F.col("category").isin("exclusionary", "gendered_pronouns"), "high").otherwise("medium").alias("severity"), "term", F.lit(0).cast("bigint").alias("excluded_count"))
-    narrow = narrow_requirements(spark, d).select(F.concat(F.lit("run "), "run_id").alias("subject"), F.lit("overly_narrow").alias("type"), F.lit("medium").alias("severity"), F.col("tools").alias("term"), "excluded_count")
-    return audit.findings([words, narrow], ["subject"])
+    """Coded wording, contradictions and narrow criteria of all runs, each once."""
+    return _findings(spark, d)
 
 
 def rescued_by_semantics(spark, d):
-    s = _ranked(spark, d).select("run_id", "stem", "final_score", "keyword_score")
-    return evaluate.rescued(s, RUN, "final_score", "keyword_score", top=5)
+    s = _scored(spark, d).select("run_id", "stem", "final_score", "keyword_score")
+    return evaluate.rescued(s, RUN, "final_score", "keyword_score")
 
 
 def skill_overlap(spark, d):
@@ -258,14 +314,81 @@ def ndcg_by_run(spark, d):
 
 
 def weight_search(spark, d):
-    return evaluate.grid_search(_graded(spark, d), evaluate.weight_grid(spark), RUN, "stem").select("config_id", F.round("mean_ndcg", 6).alias("mean_ndcg"))
+    return evaluate.grid_search(_graded(spark, d), evaluate.weight_grid(spark), RUN, "stem").select("config_id", F.round("mean_grade", 6).alias("mean_ndcg"))
+
+
+def _related(spark, d):
+    """Scored candidates of the runs with a known target: strict 1 for the family looked for, graded 2 for it and 1 for one close to it."""
+    families = ingest.family_of(_candidates(spark, d), "stem", FAMILIES)
+    targets = spark.createDataFrame([(t, a, b) for t, (a, b) in TARGETS.items()], "title string, target string, close string")
+    jobs = _distinct(spark, d, "runs", "run_id", "title").join(F.broadcast(targets), "title")
+    rows = _scored(spark, d).join(jobs, "run_id").join(families, "stem")
+    hit = F.col("family") == F.col("target")
+    return rows.withColumn("strict", hit.cast("int")).withColumn("graded", F.when(hit, 2).when(F.col("family") == F.col("close"), 1).otherwise(0))
+
+
+def family_ndcg(spark, d):
+    """How well each run finds the family it looks for."""
+    rows = _related(spark, d)
+    a, b = (evaluate.ndcg(rows, RUN, "final_score", g, "stem").select("run_id", F.round("ndcg", 6).alias(g)) for g in ("strict", "graded"))
+    return a.join(b, "run_id")
+
+
+def best_weights(spark, d):
+    """The eight configurations that find the families best."""
+    grid = evaluate.weight_grid(spark)
+    found = evaluate.grid_search(_related(spark, d), grid, RUN, "stem", ["strict", "graded"])
+    rows = found.select("config_id", F.round("mean_strict", 6).alias("strict"), F.round("mean_graded", 6).alias("graded")).join(F.broadcast(grid), "config_id")
+    return fuse.top_within(rows, [], 8, "strict", "config_id").select("rank", "config_id", "w_kw", "penalty", "floor", "strict", "graded")
+
+
+def channel_ablation(spark, d):
+    """Each channel alone, and both."""
+    grid = evaluate.weight_grid(spark, (0.0, 0.5, 1.0), (0.12,), (0.5,))
+    found = evaluate.grid_search(_related(spark, d), grid, RUN, "stem", ["strict", "graded"]).join(F.broadcast(grid), "config_id")
+    return found.select("w_kw", F.round("mean_strict", 6).alias("strict"), F.round("mean_graded", 6).alias("graded"))
+
+
+def parser_validation(spark, d):
+    """Skills and names read from the texts against those of the table."""
+    names = names_read(spark, d)
+    return evaluate.overlap_summary(skill_overlap(spark, d), names).select("n", F.round("mean_precision", 6).alias("mean_precision"), F.round("mean_recall", 6).alias("mean_recall"), "names_equal", "names_total")
+
+
+def names_read(spark, d):
+    """(stem, truth, got) of the candidates with a name."""
+    truth = _candidates(spark, d, "name").where("trim(name) <> ''").groupBy("stem").agg(F.max("name").alias("truth"))
+    return truth.join(candidate_names(spark, d).withColumnRenamed("name", "got"), "stem")
+
+
+def compared_leaders(spark, d):
+    """What parts the first two of each run."""
+    top = fuse.top_within(_scored(spark, d), RUN, 2).groupBy("run_id").agg(F.max(F.when(F.col("rank") == 1, F.col("stem"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("stem"))).alias("b")).where("b is not null")
+    flagged = _flagged(spark, d)
+    jobs = _distinct(spark, d, "runs", "run_id", "jd_id")
+    texts = _requirements(spark, d).select("jd_id", "req_id", "text").join(jobs, "jd_id").select("run_id", "req_id", "text")
+    return explain.differences(explain.deltas(flagged, top, RUN), texts, RUN)
+
+
+def artifact_candidates(spark, d):
+    """Rows of the artifact without their evidence, of which the number of cells is given."""
+    people = _candidates(spark, d, "name", "email", "family", "source_format", "formats_available", "skills", "parsed_at")
+    fields = ("name", "email", "family", "source_format", "formats_available", "skills")
+    people = people.groupBy("stem").agg(F.max_by(F.struct(*fields), F.struct("parsed_at", *fields)).alias("p")).select("stem", "p.*")
+    scores = _distinct(spark, d, "scores", "run_id", "stem", "bm25_norm", "explanation", "explanation_source")
+    ranked = _ranked(spark, d).join(scores, ["run_id", "stem"]).withColumn("reranked", F.lit(False))
+    texts = _requirements(spark, d).select("jd_id", "req_id", "text")
+    cells = _flagged(spark, d, "kw_terms", "sem_raw", "unit_text", "unit_section", "ce_score").join(texts, ["jd_id", "req_id"], "left")
+    rows = artifact.candidates(ranked, people, cells)
+    columns = ("run_id", "rank", "stem", "final_score", "keyword_score", "semantic_score", "delta", "bm25", "required_coverage", "hard_misses")
+    return rows.select(*columns, F.coalesce(F.size("evidence"), F.lit(0)).cast("bigint").alias("n_cells"))
 
 
 def explanations(spark, d):
     texts = _requirements(spark, d).select("jd_id", "req_id", "text")
-    flagged = _flagged(spark, d).join(texts, ["jd_id", "req_id"], "left")
+    flagged = _flagged(spark, d, "kw_terms", "unit_text").join(texts, ["jd_id", "req_id"], "left")
     names = _candidates(spark, d, "name").groupBy("stem").agg(F.max("name").alias("name"))
-    ranked = _ranked(spark, d).join(names, "stem", "left").withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "stem"))
+    ranked = fuse.top_within(_scored(spark, d), RUN, 3).join(names, "stem", "left").withColumn("name", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "stem"))
     return explain.explanations(ranked, explain.best_matched(flagged, RUN), explain.worst_missing(flagged, RUN), RUN)
 
 
@@ -295,5 +418,6 @@ ALL: tuple[Query, ...] = (
     token_counts, readable_candidates, first_requirements, best_formats, line_sections, sentence_counts, noise_lines, first_emails, candidate_units, candidate_names,
     stem_families, vocabulary_matches, requirement_keywords, alias_lookup, fuzzy_skills, keyword_hits, bm25_scores, keyword_channel, similar_vectors, calibrated,
     semantic_channel, required_coverage, final_ranks, leaderboard, reranked, score_spread, matched_top8, missing_top6, semantic_only, next_candidates, neighbour_deltas,
-    narrow_requirements, coded_words, findings, rescued_by_semantics, skill_overlap, ndcg_by_run, weight_search, explanations, named_people, supplier_scorecard, user_event_scorecard,
+    fuzzy_sections, candidate_skills, visible_lines, parsed_requirements, parsed_titles, listed_words, family_ndcg, best_weights, channel_ablation, parser_validation,
+    names_read, compared_leaders, artifact_candidates, narrow_requirements, coded_words, findings, rescued_by_semantics, skill_overlap, ndcg_by_run, weight_search, explanations, named_people, supplier_scorecard, user_event_scorecard,
 )

@@ -3,11 +3,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F
-
 from rankloom.functions.cleaning import cleaned
 from rankloom.operators import fuse
-from rankloom.plans import pipeline, queries
+from rankloom.plans import pipeline
 from rankloom.sources import artifact, readers
 from rankloom.streaming import ingest as stream
 
@@ -47,12 +45,24 @@ def test_formats(spark, tmp_path):
     assert readers.pick_description(readers.read_folder(spark, str(tmp_path))).first()["stem"] == "c"
 
 
-def test_artifact_round_trip(spark, data, tmp_path):
-    ranked, flagged = queries._ranked(spark, data), queries._flagged(spark, data)
-    artifact.save(artifact.build(ranked, flagged), str(tmp_path / "a"))
-    back = artifact.flat(artifact.load(spark, str(tmp_path / "a")))
-    want = {(r["run_id"], r["rank"], r["stem"]) for r in ranked.collect()}
-    assert {(r["run_id"], r["rank"], r["stem"]) for r in back.collect()} == want
+def test_artifact_round_trip(spark, tmp_path):
+    ranked = spark.createDataFrame([(7, s, i, 50.0 - i, 0.5, 0.25, 0.3333, 1, 2, 0, "said", "template", False) for i, s in enumerate("abc", 1)],
+        "run_id bigint, stem string, rank bigint, final_score double, keyword_score double, semantic_score double, bm25_norm double, covered int, required_total int, n_hard_miss int, explanation string, explanation_source string, reranked boolean")
+    people = spark.createDataFrame([("a", "Ann", "a@x.example", "f", "pdf", ["pdf"], ["sql", "css"])], "stem string, name string, email string, family string, source_format string, formats_available array<string>, skills array<string>")
+    cells = spark.createDataFrame([(7, "a", r, "text", True, True, False, 0.66666, ["sql"], 0.5, 0.4, float("nan"), "unit", "summary") for r in ("R02", "R01")],
+        "run_id bigint, stem string, req_id string, text string, required boolean, matched boolean, hard_miss boolean, kw_hit double, kw_terms array<string>, sem_cal double, sem_raw double, ce_score double, unit_text string, unit_section string")
+    rows = artifact.candidates(ranked, people, cells)
+    artifact.save(rows, str(tmp_path / "a"))
+    back = artifact.load(spark, str(tmp_path / "a"))
+    first = artifact.lookup(back, 7, 1).first()
+    assert (first["name"], first["keyword_score"], first["delta"], first["bm25"], first["required_coverage"], first["skills"]) == ("Ann", 50.0, -25.0, 0.333, "1/2", ["css", "sql"])
+    assert [(x["id"], x["kw_hit"], x["cross_encoder"]) for x in first["evidence"]] == [("R01", 0.667, None), ("R02", 0.667, None)]
+    assert {r["name"] for r in artifact.flat(back).collect()} == {"Ann", "b", "c"}
+    jobs = spark.createDataFrame([(7, "j", "t", "c", "e")], "run_id bigint, jd_id string, title string, company string, bi_encoder string")
+    req = spark.createDataFrame([("j", 0, "R01", "text", "skill", True, ["sql"], 1.0)], "jd_id string, req_idx int, req_id string, text string, kind string, required boolean, keywords array<string>, weight double")
+    found = spark.createDataFrame([(7, "overly_narrow", "medium", "sql", 3)], "run_id bigint, type string, severity string, term string, excluded_count bigint")
+    head = artifact.heads(jobs, req, found).first()
+    assert (head["checked"], head["flags"], head["config"]["w_keyword"], head["requirements"][0]["id"]) == (1, 1, 0.5, "R01")
 
 
 def test_streams(spark, tmp_path):
