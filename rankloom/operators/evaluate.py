@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.fuse import top_within
+from rankloom.settings import DEFAULT, Settings
 
 
 def ndcg(rows: DataFrame, groups: list[str], score: str, grade: str, then: str, k: int = 10) -> DataFrame:
@@ -74,6 +77,23 @@ def set_overlap(pairs: DataFrame, truth: str, got: str) -> DataFrame:
     return pairs.withColumn("precision", both / n(got)).withColumn("recall", both / n(truth))
 
 
+def against_format(parsed: DataFrame, truth: str = "xml", key: str = "stem") -> DataFrame:
+    """(key, fmt, precision, recall, same_name) of each other format of a key against its ``truth`` format.
+
+    parsed: (key, fmt, skills, name), one row a format.
+    """
+    t = parsed.where(F.col("fmt") == truth).select(key, F.col("skills").alias("__t"), F.col("name").alias("__n"))
+    both = parsed.where(F.col("fmt") != truth).join(t, key)
+    same = F.lower(F.trim("name")) == F.lower(F.trim("__n"))
+    return set_overlap(both, "__t", "skills").select(key, "fmt", "precision", "recall", F.coalesce(same, F.lit(False)).alias("same_name"))
+
+
+def best_settings(found: DataFrame, grid: DataFrame, score: str = "mean_strict", s: Settings = DEFAULT) -> Settings:
+    """Settings with the weights of the best configuration of a ``grid_search``, the first on ties."""
+    best = found.join(F.broadcast(grid), "config_id").orderBy(F.desc(score), "config_id").first()
+    return s if best is None else replace(s, w_keyword=best["w_kw"], w_semantic=round(1 - best["w_kw"], 10), penalty=best["penalty"], floor=best["floor"])
+
+
 def overlap_summary(overlaps: DataFrame, names: DataFrame) -> DataFrame:
     """One row (n, mean_precision, mean_recall, names_equal, names_total) from ``set_overlap`` and rows (truth, got) of names.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,3 +89,42 @@ def explanations(ranked: DataFrame, matched: DataFrame, missing: DataFrame, coho
     lacks = F.when(has("hard"), F.concat(F.lit("Required but without any evidence: "), T.joined(F.col("hard")), F.lit("."))).when(
         has("soft"), F.concat(F.lit("Open points: "), T.joined(F.col("soft")), F.lit("."))).otherwise(F.lit("Nothing required is open."))
     return j.select(*ids, "rank", F.concat_ws(" ", standing, direct, shown, lacks).alias("explanation"))
+
+
+def facts(ranked: DataFrame, matched: DataFrame, missing: DataFrame, cohort: list[str], key: str = "stem") -> DataFrame:
+    """(cohort, key, rank, facts): what is known of each candidate as JSON, all that a writer of explanations may see.
+
+    ranked: as in ``explanations``; matched and missing with text, as of ``best_matched`` and ``worst_missing``.
+    """
+    ids = [*cohort, key]
+    good = F.struct("pos", F.col("text").alias("requirement"), "required", "how", "kw_terms", F.col("unit_text").alias("evidence"), F.round("sem_cal", 3).alias("semantic"))
+    bad = F.struct("pos", F.col("text").alias("requirement"), "required", "hard_miss")
+    m = matched.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json(good).alias("j")))).alias("matched"))
+    n = missing.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", F.to_json(bad).alias("j")))).alias("missing"))
+    share = lambda c: F.round(F.coalesce(c, F.lit(0.0)) * 100, 1)
+    cover = F.concat_ws("/", F.col("covered").cast("string"), F.col("required_total").cast("string"))
+    each = lambda c: F.coalesce(F.transform(c, lambda x: x["j"]), F.array().cast("array<string>"))
+    sheet = F.struct("rank", "name", "final_score", share(F.col("keyword_score")).alias("keyword_score"), share(F.col("semantic_score")).alias("semantic_score"), cover.alias("required_coverage"), each("matched").alias("matched"), each("missing").alias("missing"))
+    return ranked.join(m, ids, "left").join(n, ids, "left").select(*ids, "rank", F.to_json(sheet).alias("facts"))
+
+
+def narrated(sheets: DataFrame, said: DataFrame, write: Callable[[str], str | None], cohort: list[str], key: str = "stem") -> DataFrame:
+    """``said`` with explanation and explanation_source: what ``write`` makes of the facts ('written'), or the template where it fails or gives nothing.
+
+    ``write`` is called once a row of ``said``, of which there are a few a cohort; scores never depend on it.
+    """
+    ids = [*cohort, key]
+
+    @F.pandas_udf("string")
+    def told(b: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return write(t) or None
+            except Exception:
+                return None
+
+        return b.map(one)
+
+    rows = said.join(sheets.select(*ids, "facts"), ids, "left").withColumn("__t", F.when(F.col("facts").isNotNull(), told("facts")))
+    source = F.when(F.col("__t").isNotNull(), "written").otherwise("template")
+    return rows.select(*ids, "rank", F.coalesce("__t", "explanation").alias("explanation"), source.alias("explanation_source"))

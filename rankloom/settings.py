@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from dataclasses import asdict, dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -39,5 +41,25 @@ class Settings:
     bm25_b: float = 0.75
     bm25_epsilon: float = 0.25
 
+    def changed(self, spark=None, environment: dict[str, str] | None = None) -> Settings:
+        """With the values of spark.rankloom.<name> and of RANKLOOM_<NAME> in the environment, which goes first."""
+        named = os.environ if environment is None else environment
+        new = {}
+        for f in fields(self):
+            now = getattr(self, f.name)
+            text = named.get(f"RANKLOOM_{f.name.upper()}") or (spark.conf.get(f"spark.rankloom.{f.name}", None) if spark else None)
+            if text is not None and not isinstance(now, str):
+                new[f.name] = tuple(text.split(",")) if isinstance(now, tuple) else type(now)(text)
+        return replace(self, **new)
+
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(asdict(self), f, indent=1)
+
+    @classmethod
+    def load(cls, path: str) -> Settings:
+        with open(path, encoding="utf-8") as f:
+            return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.load(f).items()})
+
 
 DEFAULT = Settings()

@@ -1,12 +1,14 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
 from rankloom.functions.cleaning import cleaned
-from rankloom.operators import fuse
-from rankloom.plans import pipeline
-from rankloom.sources import artifact, readers
+from rankloom.operators import ask, evaluate, explain, fuse, ingest
+from rankloom.plans import pipeline, report
+from rankloom.settings import DEFAULT, Settings
+from rankloom.sources import artifact, readers, resources
 from rankloom.streaming import ingest as stream
 
 LONG = "Jane Doe\njane@doe.example\nExperience\n- Wrote the python service that the night shift relies on every day\n- Ran the sql reports for the whole region and kept them green\n"
@@ -89,3 +91,59 @@ def test_pipeline_ranks_the_better_candidate_first(spark):
     assert out["explanations"].count() == 2
     assert fuse.coverage(out["evidence"], ["jd_id"]).where("stem = 'good'").first()["covered"] == 2
     assert out["units"].where(F.size("vector") != 256).count() == 0
+
+
+def test_answers_and_report(spark):
+    cell = lambda i, m, req=True: (i, f"criterion {i}", req, m)
+    rows = spark.createDataFrame(
+        [("a", "Priya Menon", "web", 1, 60.0, 70.0, 50.0, "2/2", [cell("R01", True), cell("R02", True, False)]), ("b", "Karan Rao", None, 2, 40.5, 30.0, None, "1/2", [cell("R01", False), cell("R02", True, False)])],
+        "stem string, name string, family string, rank bigint, final_score double, keyword_score double, semantic_score double, required_coverage string, evidence array<struct<id: string, requirement: string, required: boolean, matched: boolean>>",
+    )
+    q = spark.createDataFrame([(1, "Why is Priya Menon above Karan Rao?"), (2, "What about karan?"), (3, "Who leads?"), (4, "Tell me of Karan Rao")], "question_id int, question string")
+    got = {r["question_id"]: (r["about"], r["answer"]) for r in ask.answers(q, rows).collect()}
+    assert got[1][0] == ["a", "b"] and got[1][1].endswith("They differ in: required: criterion R01 (only Priya Menon).")
+    assert got[4] == (["b"], "Karan Rao is number 2 with 40.50, meets 1/2 required criteria (keyword 30.00, semantic none).")
+    assert got[3] == (["a", "b"], "First are number 1 Priya Menon (60.00); number 2 Karan Rao (40.50).")
+    assert report.leaderboard(rows).splitlines()[0].split() == ["rank", "name", "family", "score", "keyword", "semantic", "required"] and report.leaderboard(rows).endswith("spread 19.50")
+
+
+def test_resources(spark, tmp_path):
+    put = lambda n, v: (tmp_path / n).write_text(json.dumps(v)) and str(tmp_path / n)
+    skills, aliases = put("s.json", {"web": ["React", "Vue"]}), put("a.json", {"reactjs": "react", "vue": "vue.js"})
+    assert {tuple(r) for r in resources.vocabulary(spark, skills, aliases).collect()} == {("react", "react"), ("reactjs", "react"), ("vue", "vue.js")}
+    assert {tuple(r) for r in resources.words(spark, put("w.json", {"_c": ["x"], "notes": {}, "age": ["young"], "feminine_coded": ["warm"]})).collect()} == {("age", "young")}
+    assert resources.families(put("f.json", {"families": [["web", ["web dev"]]], "relevance": {"web": {"web": 2}}})) == ([("web", ("web dev",))], {"web": {"web": 2}})
+
+
+def test_settings(spark, tmp_path):
+    s = DEFAULT.changed(spark, {"RANKLOOM_PENALTY": "0.2", "RANKLOOM_TOP_UNITS": "3", "RANKLOOM_FORMAT_PREFERENCE": "pdf,txt"})
+    assert (s.penalty, s.top_units, s.format_preference) == (0.2, 3, ("pdf", "txt"))
+    s.save(str(tmp_path / "s.json"))
+    assert Settings.load(str(tmp_path / "s.json")) == s
+    found = spark.createDataFrame([(0, 0.5), (134, 0.9)], "config_id int, mean_strict double")
+    assert evaluate.best_settings(found, evaluate.weight_grid(spark)).w_keyword == 0.7
+
+
+def test_formats_against_the_structured_one(spark):
+    rows = spark.createDataFrame([("a", "xml", ["x", "y"], "Jo Lee"), ("a", "pdf", ["x", "z"], " jo lee"), ("a", "txt", ["x"], None), ("b", "pdf", ["x"], "B")], "stem string, fmt string, skills array<string>, name string")
+    got = {r["fmt"]: (r["precision"], r["recall"], r["same_name"]) for r in evaluate.against_format(rows).collect()}
+    assert got == {"pdf": (0.5, 0.5, True), "txt": (1.0, 0.5, False)}
+    names = spark.createDataFrame([("cyber_security2",), ("Web_Dev",)], "f string")
+    assert [r[0] for r in names.select(ingest.family_of_file(F.col("f"), {"cyber_security": "cyber_sec"})).collect()] == ["cyber_sec", "web_dev"]
+
+
+def test_scorer_limit_and_writer(spark):
+    people = spark.createDataFrame([("good", LONG), ("poor", LONG.replace("python service", "garden path").replace("sql reports", "tea parties"))], "stem string, raw_text string")
+    jd = spark.createDataFrame([("j", "Data Engineer\nAcme\n## Required skills\n- Confident use of python\n- Daily work with sql\n")], "jd_id string, text string")
+    vocab = spark.createDataFrame([("python", "python"), ("sql", "sql")], "term string, canon string")
+    out = pipeline.rank(people, jd, vocab, scorer=lambda pairs: [9.0 if "python" in u else -9.0 for _, u in pairs], limit=1)
+    first = out["ranked"].collect()
+    assert [(r["stem"], r["rank"], r["reranked"]) for r in first] == [("good", 1, True)]
+    said = out["explanations"]
+    cells, name = out["evidence"], F.col("stem").alias("name")
+    sheets = explain.facts(out["ranked"].select("*", name), explain.best_matched(cells, ["jd_id"]), explain.worst_missing(cells, ["jd_id"]), ["jd_id"])
+    told = explain.narrated(sheets, said, lambda t: f"{json.loads(t)['name']} leads", ["jd_id"]).first()
+    assert (told["explanation"], told["explanation_source"]) == ("good leads", "written")
+    assert explain.narrated(sheets, said, lambda t: 1 / 0, ["jd_id"]).first()["explanation_source"] == "template"
+    grades = spark.createDataFrame([("j", "good", 1)], "jd_id string, stem string, grade int")
+    assert [(r["encoder"], r["ndcg"]) for r in pipeline.compare_encoders(people, jd, vocab, grades, {"default": None}).collect()] == [("default", 1.0)]
