@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.session import if_small
+
 
 def resolve_names(questions: DataFrame, people: DataFrame, most: int = 6) -> DataFrame:
     """(question_id, key, name, score, pos): the people a question names.
@@ -12,7 +14,7 @@ def resolve_names(questions: DataFrame, people: DataFrame, most: int = 6) -> Dat
     questions: (question_id, question), a few rows; people: (key, name). 3 for the whole name, 2 for two of its tokens of more than two letters,
     1 for the last alone; with a hit of 2 or more those of 1 are dropped. Each name once, the longest match first, then by key.
     """
-    q = F.broadcast(questions.select("question_id", F.lower("question").alias("__q")))
+    q = if_small(questions.select("question_id", F.lower("question").alias("__q")))
     p = people.where("name is not null and trim(name) <> ''").select("key", "name", F.lower("name").alias("__n"))
     tokens = F.filter(F.split("__n", r"\s+"), lambda t: F.length(t) > 2)
     j = p.withColumn("__t", tokens).join(q, F.expr("instr(__q, __n) > 0 or exists(__t, t -> instr(__q, t) > 0)"))
@@ -41,7 +43,7 @@ def answers(questions: DataFrame, rows: DataFrame, most_differences: int = 5, bo
     the first ``board`` of the cohort. Questions are a few rows and are broadcast.
     """
     named = resolve_names(questions, rows.select(F.col("stem").alias("key"), "name")).where("pos <= 2").select("question_id", "key", "pos")
-    met = rows.join(F.broadcast(named), F.col("stem") == F.col("key"))
+    met = rows.join(named, F.col("stem") == F.col("key"))
     number = lambda c: F.coalesce(F.col(c).cast("decimal(28,2)").cast("string"), F.lit("none"))
     standing = F.concat(
         F.col("name"), F.lit(" is number "), F.col("rank").cast("string"), F.lit(" with "), number("final_score"), F.lit(", meets "), F.col("required_coverage"), F.lit(" required criteria (keyword "),

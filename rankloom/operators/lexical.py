@@ -46,9 +46,9 @@ def bm25(pool: DataFrame, query: DataFrame, texts: DataFrame, cohort: str, key:
     mean = idf.groupBy(cohort).agg(F.avg("idf").alias("mean_idf"))
     q = query.select(cohort, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(cohort, "term").agg(F.count("*").alias("qtf"))
     weight = q.join(idf, [cohort, "term"]).join(mean, cohort)
-    weight = stored(weight.select(cohort, "term", "qtf", "avgdl", F.when(F.col("idf") < 0, s.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("w")))
+    weight = weight.select(cohort, "term", "qtf", "avgdl", F.when(F.col("idf") < 0, s.bm25_epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))
     # Only the counts of terms that some query has are joined with the members.
-    asked = tf.join(if_small(weight.select("term").distinct()), "term", "left_semi")
+    asked = tf.join(if_small(q.select("term").distinct()), "term", "left_semi")
     hit = members.select(cohort, key, "dl").join(asked, key).join(weight, [cohort, "term"])
     part = F.col("qtf") * F.col("w") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
     scored = hit.groupBy(cohort, key).agg(F.sum(part).alias("bm25"))

@@ -39,8 +39,3 @@ def daily_events(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Daily sums of a stream of events (ts, event_type, value) with a watermark; ts may come without a zone."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return e.groupBy(F.window("ts", "1 day").alias("day"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-
-
-def latest_units(lines: DataFrame) -> DataFrame:
-    """Units of a batch of candidates, for use inside ``rescore``."""
-    return ingest.split_units(ingest.with_sections(ingest.lines_of(lines, "stem", "raw_text"), "stem"), "stem")
