@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.stats import probit_sql
 from rankloom.llm import blend, canon, names, packing, personal, scans, split, tokens, truncated
+from rankloom.session import if_small
 from rankloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +91,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         F.lit("requirement").alias("place"), F.concat("jd_id", F.lit("/"), "id").alias("rec"), F.explode("keywords").alias("entered")
     )
     skills = table(spark, d, "skills", "skill")
-    rows = c.unionByName(r).where("entered is not null").distinct().join(F.broadcast(skills), F.col("entered") == F.col("skill"), "left_anti")
+    rows = c.unionByName(r).where("entered is not null").distinct().join(if_small(skills), F.col("entered") == F.col("skill"), "left_anti")
     terms = table(spark, d, "vocab", "term", "canon").unionByName(skills.select(F.col("skill").alias("term"), F.col("skill").alias("canon")))
     found = canon.match_values(rows, terms).select(F.col("entered").alias("__e"), F.col("match").alias("skill"))
     return rows.join(found, F.col("entered") == F.col("__e")).select("place", "rec", "entered", "skill")
