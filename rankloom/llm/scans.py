@@ -456,9 +456,12 @@ _PART = f"a string, b string, n bigint, tid bigint, doubts {_DOUBTS}, wholes arr
 
 
 def _texts(candidates: DataFrame, key: str, text: str, kind: str, scanned: str) -> DataFrame:
-    """(k, t, scan, tid) of each distinct row with a text, spread by key over all cores and written once, as all later steps read it."""
+    """(k, t, scan, tid) of each distinct row with a text, spread evenly and written once, as all later steps read it.
+
+    Repeated rows are put together before they are shuffled, so a text or key that comes again and again isn't gathered.
+    """
     rows = candidates.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(F.col(kind), F.lit("")) == scanned).alias("scan")).where("t is not null")
-    return stored(spread(rows, "k").dropDuplicates(["k", "t", "scan"]).withColumn("tid", F.xxhash64("k", "t")))
+    return stored(spread(rows.distinct()).withColumn("tid", F.xxhash64("k", "t")))
 
 
 def _parts(texts: DataFrame) -> DataFrame:
