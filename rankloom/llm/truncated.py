@@ -182,9 +182,10 @@ def _taken_apart(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, ddl)
 
 
-def _prefixes(copies: DataFrame) -> DataFrame:
-    """Copies with each prefix of their word, the word itself included."""
-    return copies.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("x")))).withColumn("pre", F.expr("substring(x, 1, i)"))
+def _prefixes(copies: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Copies with each prefix of their word that has from ``lo`` to ``hi`` letters, the word itself included."""
+    fit = copies.where(F.length("x") >= lo).withColumn("i", F.explode(F.sequence(lo, F.least(F.length("x"), hi))))
+    return fit.withColumn("pre", F.expr("substring(x, 1, i)"))
 
 
 def _sums(level: str) -> list[Column]:
@@ -197,9 +198,10 @@ def _sums(level: str) -> list[Column]:
 
 
 def _looked_up(tails: DataFrame, copies: DataFrame, level: str) -> DataFrame:
-    """(kh, last, a, b, p) of the ends that occur in ``copies``; only words after words that end a text are taken apart."""
+    """(kh, last, a, b, p) of the ends that occur in ``copies``; words are taken apart only after words that end a text, at the lengths asked for there."""
     asked = tails.select(F.col(f"k{level}").alias("kh"), "last").distinct()
-    near = _prefixes(copies.join(asked.select(F.col("kh").alias("h")).distinct(), "h", "left_semi"))
+    bounds = asked.groupBy(F.col("kh").alias("h")).agg(F.min(F.length("last")).alias("lo"), F.max(F.length("last")).alias("hi"))
+    near = _prefixes(copies.join(bounds, "h"), F.col("lo"), F.col("hi"))
     return near.join(asked, (F.col("kh") == F.col("h")) & (F.col("pre") == F.col("last"))).groupBy("kh", "last").agg(*_sums(level))
 
 
@@ -252,7 +254,7 @@ def find_truncated(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     fine = stored(fine)
     open_ = fine.where("coalesce(as + bs + ps, 0) <= 1 and coalesce(a3 + b3 + p3, 0) <= 1")
     two = counts.where("level = '3'").select(F.col("g").alias("h"), "x", "e", "c")
-    one = _prefixes(two.groupBy("x").agg(F.sum("e").alias("e"), F.sum("c").alias("c")))
+    one = _prefixes(two.groupBy("x").agg(F.sum("e").alias("e"), F.sum("c").alias("c")), F.lit(1), F.length("x"))
     begins = (F.length("last") >= 3) | (F.col("x") == F.col("last"))
     single = one.join(open_.select("last").distinct(), F.col("pre") == F.col("last")).where(begins).groupBy("last").agg(*_sums("1"))
     full = open_.select("last", "ks", "k3", "k2").join(_looked_up(open_, two, "2").withColumnRenamed("kh", "k2"), ["k2", "last"], "left").join(single, "last", "left")
