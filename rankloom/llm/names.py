@@ -125,18 +125,18 @@ def compare(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> tup
     One pair of matching tokens, the heavier the better, is the family or firm name. What remains has to agree in order: the first
     given names, then the others as far as both have them.
     """
-    org = organisation(a)
-    if org != organisation(b):
+    (org, spans_a), (org_b, spans_b) = _prepared(a), _prepared(b)
+    if org != org_b:
         return "", 0.0
     # A letter says little, however rare it is.
     wa, wb = ([1.0 if len(t) == 1 else v for t, v in zip(ts, ws)] for ts, ws in ((a, wa), (b, wb)))
     # A given name that is known by its nicknames can't outweigh a family name.
     wa, wb = ([min(v, max(ws) / 2) if t in _NICKNAMES or t in _FULL else v for t, v in zip(ts, ws)] for ts, ws in ((a, wa), (b, wb)))
     pivots = []
-    for i, j in _spans(a):
-        for k, m in _spans(b):
+    for i, j, word in spans_a:
+        for k, m, other in spans_b:
             # A token written apart on one side is compared as a whole, not one that is apart on both.
-            if (j - i, m - k) != (2, 2) and (s := _alike("".join(a[i:j]), "".join(b[k:m]))) > 0.75:
+            if (j - i == 1 or m - k == 1) and abs(len(word) - len(other)) < 11 and (s := _alike(word, other)) > 0.75:
                 x, y = max(wa[i:j]), max(wb[k:m])
                 pivots.append((s * (max(x, y) if j - i == m - k else min(x, y)), i, j, k, m))
     best = ("", 0.0)
@@ -149,6 +149,20 @@ def compare(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> tup
     return best
 
 
+def _prepared(tokens: list[str]) -> tuple[bool, list[tuple[int, int, str]]]:
+    """Whether a name is a firm's, and its spans with their letters; remembered, as names are compared with many others."""
+    key = " ".join(tokens)
+    found = _known.get(key)
+    if found is None:
+        if len(_known) > 50_000:
+            _known.clear()
+        found = _known[key] = organisation(tokens), [(i, j, "".join(tokens[i:j])) for i, j in _spans(tokens)]
+    return found
+
+
+_known: dict[str, tuple[bool, list[tuple[int, int, str]]]] = {}
+
+
 def _spans(tokens: list[str]) -> list[tuple[int, int]]:
     """Tokens and pairs of neighbours of four letters or more; those that part the generations aren't among them."""
     return [(i, j) for i in range(len(tokens)) for j in (i + 1, i + 2) if j <= len(tokens) and sum(map(len, tokens[i:j])) > 3 and not {"jr", "sr"} & set(tokens[i:j])]
